@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.functions.ids import tenant, trace_id
-from tidewater.llm import distinct, packing, quantiles, tokens
+from tidewater.llm import distinct, packing, quantiles, spam, tokens
 from tidewater.session import materialize
 from tidewater.sources.tables import table
 
@@ -47,5 +47,19 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(sizes, "doc_id", "n_tokens")
 
 
-QUERIES = {f.__name__: f for f in (p2_percentiles, p5_distinct, p8_ids, p9_containers)}
+def _pages(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents")
+    return spam.flag(documents, spam.train(documents, table(spark, d, "doc_labels")))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return _pages(spark, d).where("flagged").select("doc_id")
+
+
+def p10_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The share of list text of every document."""
+    return _pages(spark, d)
+
+
+QUERIES = {f.__name__: f for f in (p2_percentiles, p5_distinct, p8_ids, p9_containers, p10_found, p10_shares)}
 SQL: dict[str, str] = {}
