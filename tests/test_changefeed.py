@@ -1,0 +1,76 @@
+import random
+from datetime import datetime
+
+from tidewater.operators.changefeed import current_rows, latest_changes, merge_changes
+
+SCHEMA = "id string, updated_at timestamp, deleted boolean, name string, `a.b` int, rank int"
+
+
+def at(s):
+    return datetime(2023, 1, 1, 0, 0, s)
+
+
+def rows(df):
+    return sorted(map(tuple, df.collect()), key=str)
+
+
+def brute(changes):
+    best = {}
+    for r in changes:
+        k = (r[1] is not None, r[1] or at(0), bool(r[2]))
+        if r[0] not in best or k > best[r[0]][0]:
+            best[r[0]] = (k, r)
+    return {k: r for k, (_, r) in best.items()}
+
+
+def test_order_repeats_and_nulls(spark):
+    data = [
+        ("a", at(1), None, "x", 1, 0), ("a", at(3), False, None, 2, 0), ("a", at(2), True, "y", 3, 0), ("a", at(3), False, None, 2, 0),
+        ("b", at(5), True, "gone", 1, 0), ("b", at(4), None, "z", 1, 0),
+        ("c", None, None, "oldest", 1, 0), ("c", at(0), None, "new", 1, 0),
+        (None, at(1), None, "null key", 1, 0), ("d", None, True, "d", 1, 0), ("", at(1), None, "e" * 100_000, 1, 0),
+    ]
+    random.Random(1).shuffle(data)
+    df = spark.createDataFrame(data, SCHEMA)
+    got = rows(current_rows(latest_changes(df, ["id"], "updated_at", "deleted"), "deleted"))
+    want = sorted((tuple(r) for r in brute(data).values() if not r[2]), key=str)
+    assert got == want
+    assert df.columns == latest_changes(df, ["id"], "updated_at", "deleted").columns
+
+
+def test_equal_stamps_removal_wins_and_is_deterministic(spark):
+    data = [("a", at(1), None, n, 1, 0) for n in "pqr"] + [("b", at(1), None, "p", 1, 0), ("b", at(1), True, "q", 1, 0)]
+    results = set()
+    for seed in range(3):
+        random.Random(seed).shuffle(data)
+        df = spark.createDataFrame(data, SCHEMA).repartition(3)
+        results.add(str(rows(current_rows(latest_changes(df, ["id"], "updated_at", "deleted"), "deleted"))))
+    assert len(results) == 1 and "'b'" not in results.pop()
+
+
+def test_merging_any_cut_gives_the_same_state(spark):
+    rnd = random.Random(7)
+    data = [(f"k{rnd.randrange(20)}" if rnd.random() > 0.1 else None, at(rnd.randrange(50)) if rnd.random() > 0.1 else None, rnd.choice([None, False, True]), rnd.choice("xyz"), 1, 0) for _ in range(300)]
+    df = spark.createDataFrame(data, SCHEMA)
+    whole = rows(merge_changes(None, df, ["id"], "updated_at", "deleted"))
+    for cut in (0, 1, 150, 299, 300):
+        a, b = spark.createDataFrame(data[:cut], SCHEMA), spark.createDataFrame(data[cut:], SCHEMA)
+        base = latest_changes(a, ["id"], "updated_at", "deleted")
+        assert rows(merge_changes(base, b, ["id"], "updated_at", "deleted")) == whole
+
+
+def test_late_change_does_not_bring_a_removed_record_back(spark):
+    base = latest_changes(spark.createDataFrame([("a", at(9), True, "x", 1, 0)], SCHEMA), ["id"], "updated_at", "deleted")
+    late = spark.createDataFrame([("a", at(1), False, "x", 1, 0)], SCHEMA)
+    assert current_rows(merge_changes(base, late, ["id"], "updated_at", "deleted"), "deleted").count() == 0
+
+
+def test_hot_key_is_cut_down_before_the_shuffle(spark):
+    df = spark.range(50_000).selectExpr("substring('hot', 1, 3 + cast(id % 2 as int)) id", "timestamp_micros(id) updated_at", "false deleted")
+    out = latest_changes(df, ["id"], "updated_at", "deleted")
+    assert "WindowGroupLimit" in out._jdf.queryExecution().executedPlan().toString()
+    assert out.count() == 1
+
+
+def test_empty(spark):
+    assert latest_changes(spark.createDataFrame([], SCHEMA), ["id"], "updated_at", "deleted").count() == 0

@@ -1,0 +1,80 @@
+import random
+
+import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+
+from tidewater.operators.hierarchy import descendants, hierarchies
+
+SCHEMA = "tree string, node string, parent string, note string, depth int"
+
+
+def brute(rows):
+    parent = {}
+    for t, n, p, *_ in rows:
+        if t is not None and n is not None:
+            old = parent.get((t, n), p)
+            parent[t, n] = min((x for x in (old, p) if x is not None), default=None)
+    out = {}
+    for t, n in parent:
+        path, x = [n], n
+        while True:
+            p = parent[t, x]
+            if p is None or (t, p) not in parent:
+                out[t, n] = (x, len(path) - 1, None, path[::-1])
+                break
+            if p in path:
+                out[t, n] = ("", -1, "on" if p == n else None, None)
+                if p != n:  # below, unless the circle comes back to n
+                    y, ring = p, {p}
+                    while parent[t, y] not in ring:
+                        y = parent[t, y]
+                        ring.add(y)
+                    out[t, n] = ("", -1, "on" if n in ring else "below", None)
+                break
+            path.append(p)
+            x = p
+    return out
+
+
+def check(spark, rows, **kw):
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {(r.tree, r.node): (r.root, r.depth, r.cycle, r.path) for r in hierarchies(df, with_path=True, **kw).collect()}
+    assert got == brute(rows)
+
+
+CASES = [
+    ("t", "a", None, "x", 1), ("t", "b", "a", "", 1), ("t", "c", "b", None, 1), ("t", "c", "b", None, 1), ("u", "a", "zz", "", 1),
+    ("t", "p", "q", "", 1), ("t", "q", "p", "", 1), ("t", "r", "q", "", 1), ("t", "s", "s", "", 1), (None, "n", "a", "", 1),
+    ("t", None, "a", "", 1), ("v", "b", "a", "", 1), ("w", "m", "k", "", 1), ("w", "m", None, "", 1), ("w", "k", None, "", 1), ("w", "m", "j", "", 1),
+]
+
+
+@pytest.mark.parametrize("limit", [1_000, 0])
+def test_cases_in_tasks_and_distributed(spark, limit):
+    check(spark, CASES, tree_limit=limit)
+
+
+def test_deep_chain_and_many_buckets(spark):
+    rows = [("t", f"{i:03}", f"{i - 1:03}" if i else None, None, 0) for i in range(60)]
+    rows += [(f"x{i % 50}", f"{i}", f"{i - 50}" if i >= 50 else None, None, 0) for i in range(500)]
+    random.Random(2).shuffle(rows)
+    check(spark, rows, bucket_rows=50)
+    check(spark, rows[:300], tree_limit=40)
+
+
+@settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.sampled_from("tu"), st.sampled_from("abcdefgh"), st.none() | st.sampled_from("abcdefghz")), max_size=25))
+def test_random_links(spark, links):
+    check(spark, [(*x, None, 0) for x in links])
+
+
+def test_descendants(spark):
+    df = spark.createDataFrame(CASES, SCHEMA)
+    got = {tuple(r) for r in descendants(hierarchies(df, with_path=True)).collect()}
+    want = {(t, a, n, len(path) - 1 - i) for (t, n), (_, _, _, path) in brute(CASES).items() if path for i, a in enumerate(path[:-1])}
+    assert got == want
+
+
+def test_empty(spark):
+    assert hierarchies(spark.createDataFrame([], SCHEMA)).count() == 0
