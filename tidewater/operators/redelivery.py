@@ -110,8 +110,17 @@ def ingest(spark: SparkSession, root: str, rows: DataFrame, stamp: str, batches:
 
 
 def deliver_once(rows: DataFrame, stamp: str = "updated_at") -> DataFrame:
-    """Without a store: the winners of rows that are all at hand, with every column and `deliveries`."""
-    return single_winners(messages(rows), stamp)
+    """Without a store: the winners of rows that are all at hand, with every column and `deliveries`.
+
+    Keys alone tell which messages came more than once; only the copies of those are shuffled with all their
+    columns, every other row stays where it is (as long as the engine finds the repeated keys small enough to
+    broadcast; else both sides are joined by key).
+    """
+    keyed = messages(rows)
+    repeated = keyed.groupBy("msg_id", "ts_ms").count().where("count > 1").select("msg_id", "ts_ms")
+    once = keyed.join(repeated, ["msg_id", "ts_ms"], "left_anti").withColumn("deliveries", F.lit(1).cast("long"))
+    several = single_winners(keyed.join(repeated, ["msg_id", "ts_ms"], "left_semi"), stamp)
+    return several.select(*[c(x) for x in once.columns]).unionByName(once)
 
 
 __all__ = ["MessageStore", "deliver_once", "ingest", "messages", "single_winners"]
