@@ -35,8 +35,8 @@ def _arrays(cell) -> tuple[np.ndarray, np.ndarray]:
         return np.empty(0), np.empty(0)
     x = np.array([c["x"] for c in cell], dtype=float)
     y = np.array([c["y"] for c in cell], dtype=float)
-    order = np.argsort(x, kind="stable")
-    return x[order], y[order]
+    x, where = np.unique(x, return_inverse=True)  # equal centroids are one
+    return x, np.bincount(where, y)
 
 
 def compress(x: np.ndarray, y: np.ndarray, size: int = DIGEST_SIZE) -> tuple[np.ndarray, np.ndarray]:
@@ -51,12 +51,19 @@ def compress(x: np.ndarray, y: np.ndarray, size: int = DIGEST_SIZE) -> tuple[np.
 
 
 def quantile(x: np.ndarray, y: np.ndarray, p: float) -> float | None:
-    """Interpolated between centroids; the extremes are the outermost centroids."""
+    """Interpolated between centroids; the extremes are the outermost centroids.
+
+    With fewer centroids than a digest can hold they are the values themselves, each spanning as many ranks as
+    it has weight, and the result is exact; else a centroid stands for the middle of its ranks.
+    """
     if len(x) == 0:
         return None
-    first = np.cumsum(y) - y  # a centroid of weight w spans the ranks first .. first + w - 1
-    middle = first + (y - 1) / 2
-    return float(np.interp(p * (y.sum() - 1), middle, x))
+    first = np.cumsum(y) - y
+    last = first + y - 1
+    rank = p * (y.sum() - 1)
+    if len(x) < DIGEST_SIZE:
+        return float(np.interp(rank, np.stack((first, last), 1).ravel(), np.repeat(x, 2)))
+    return float(np.interp(rank, (first + last) / 2, x))
 
 
 @F.pandas_udf(_DIGEST_TYPE)

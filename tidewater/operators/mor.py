@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidewater.functions.ids import tenant
 from tidewater.operators.changefeed import current_rows, latest_changes
 from tidewater.schema import TableSchema
-from tidewater.session import c, fresh
+from tidewater.session import c, fresh, materialize
 
 #: Rows the FROM source of an update may have.
 SOURCE_LIMIT = 1_000_000
@@ -114,13 +114,15 @@ class VersionedTable:
     def _append(self, rows: DataFrame) -> int:
         stamp = F.timestamp_micros(F.lit(self.clock.stamp()).cast("long"))
         stamped = rows.withColumn(self.schema.version, stamp) if self.schema.version else rows
-        # the rows to write are read from the table itself; a checkpointed copy also makes the count exact
-        from tidewater.session import materialize
-
+        # the rows to write may be read from the table itself; a checkpointed copy also makes the count exact
         ready = materialize(stamped.select(*[c(f.name) for f in self.schema.fields]))
         n = ready.count()
         if n:
-            ready.sortWithinPartitions(*[c(x) for x in (self.schema.sort or self.schema.dedup_keys)]).write.mode("append").partitionBy(*self.schema.partitions).parquet(self.path)
+            writer = ready.sortWithinPartitions(*[c(x) for x in (self.schema.sort or self.schema.dedup_keys)]).write.mode("append")
+            for f in self.schema.fields:
+                if f.bloom:
+                    writer = writer.option(f"parquet.bloom.filter.enabled#{f.name}", "true")
+            writer.partitionBy(*self.schema.partitions).parquet(self.path)
             if self.on_write:
                 self.on_write(ready)
         return n

@@ -65,6 +65,13 @@ def compaction_plan(actions: DataFrame, target_bytes: int = TARGET_BYTES, small_
     )
 
 
+def counts_from_log(actions: DataFrame) -> DataFrame:
+    """Rows per partition from the log alone, no file opened: null where a live file has no count, never a guess."""
+    return live_files(actions).groupBy("project_id", "date").agg(
+        F.when(F.count_if(F.col("num_records").isNull()) == 0, F.sum("num_records")).alias("n"), F.count("*").alias("files")
+    )
+
+
 @dataclass(frozen=True)
 class Rewrite:
     folder: str

@@ -45,7 +45,7 @@ fates AS (
          WHEN arrival_us > end_us + 900000000 THEN 'correction' ELSE 'on_time' END AS fate
   FROM ends)"""
 
-_LIVE = """
+LIVE = """
 WITH actions AS (
   SELECT *, regexp_extract(replace(replace(path, '%3D', '='), '%3d', '='), '(project_id=[^/]*/date=[^/]*/[^/]+\\.parquet)\\s*$', 1) AS rel
   FROM file_actions),
@@ -79,8 +79,8 @@ SELECT period, count(*) FILTER (fate = 'on_time') AS published_n,
        count(*) FILTER (fate = 'diverted') AS diverted_n
 FROM fates WHERE fate <> 'unknown' GROUP BY period""",
     "p6_found": f"SELECT msg_id AS id, ts_ms FROM ({_MESSAGES}) GROUP BY msg_id, ts_ms HAVING count(*) > 1",
-    "p7_found": _LIVE + " SELECT rel AS path FROM small WHERE n >= 2",
-    "p7_plan": _LIVE + """
+    "p7_found": LIVE + " SELECT rel AS path FROM small WHERE n >= 2",
+    "p7_plan": LIVE + """
 SELECT project_id, date, count(*) AS files_before, CAST(sum(size_bytes) AS BIGINT) AS bytes,
        CAST(sum(num_records) AS BIGINT) AS known_records, count(*) FILTER (num_records IS NULL) AS files_without_count,
        greatest(1, CAST(ceil(sum(size_bytes) / 134217728.0) AS BIGINT)) AS files_after

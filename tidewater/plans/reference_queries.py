@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from tidewater.engine import Engine
 from tidewater.functions.ids import tenant
-from tidewater.operators import mor, rollup
+from tidewater.operators import mor, rollup, small_files
+from tidewater.plans.pipeline_sql import LIVE
 from tidewater.schema import GRAINS, change_feed_schema, metrics_rollups, spans_rollups
 from tidewater.sources.tables import table
 
@@ -255,7 +256,18 @@ def exact_duplicates(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, SPANS).select("timestamp", "id").dropDuplicates(["timestamp", "id"]).groupBy(F.to_date("timestamp").alias("day")).agg(F.count("*").alias("n"))
 
 
-PLANS = {f.__name__: f for f in (rollup_1m, rollup_1h_from_1m, rollup_refresh, rollup_routed, rollup_hybrid, metrics_rollup, flush_dedup, exact_duplicates)}
+def count_from_log(spark: SparkSession, d: str) -> DataFrame:
+    return small_files.counts_from_log(table(spark, d, "file_actions"))
+
+
+def retried_bins(spark: SparkSession, d: str) -> DataFrame:
+    """Ten-minute bins of the span table with repeated keys: what a dedup rewrite has to touch."""
+    t = F.unix_micros("timestamp")
+    many = table(spark, d, SPANS).groupBy("timestamp", "id").count().where("count > 1")
+    return many.groupBy((t - F.pmod(t, F.lit(600_000_000))).alias("bin")).agg(F.count("*").alias("keys"), F.sum(F.col("count") - 1).alias("surplus"))
+
+
+PLANS = {f.__name__: f for f in (count_from_log, retried_bins, rollup_1m, rollup_1h_from_1m, rollup_refresh, rollup_routed, rollup_hybrid, metrics_rollup, flush_dedup, exact_duplicates)}
 
 
 def _tier_sql(grain: str, raw: str = SPANS) -> str:
@@ -271,6 +283,9 @@ def _hourly_sql(start: int, end: int) -> str:
 
 
 PLAN_SQL = {
+    "count_from_log": LIVE + """ SELECT coalesce(project_id, 'default') AS project_id, date, CASE WHEN count(*) = count(num_records) THEN CAST(sum(num_records) AS BIGINT) END AS n, count(*) AS files
+FROM ranked WHERE rn = 1 AND action_type = 'add' GROUP BY ALL""",
+    "retried_bins": f"SELECT bin, count(*) AS keys, CAST(sum(n - 1) AS BIGINT) AS surplus FROM (SELECT epoch_us(timestamp) - epoch_us(timestamp) % 600000000 AS bin, count(*) AS n FROM {SPANS} GROUP BY timestamp, id HAVING count(*) > 1) GROUP BY bin",
     "rollup_1m": _tier_sql("1m"), "rollup_1h_from_1m": _tier_sql("1h"), "rollup_refresh": _tier_sql("1m"),
     "rollup_routed": _hourly_sql(_FIRST, _FIRST + 10 * _DAY), "rollup_hybrid": _hourly_sql(_FIRST + 1_234_567, _FIRST + 5 * _DAY + 98_765_432),
     "metrics_rollup": f"SELECT {_bucket(3600)} AS t, coalesce(project_id, 'default') AS project_id, metric_name, resource___service___name, count(*) AS point_count, count(value) AS value_count FROM otel_metrics GROUP BY ALL",

@@ -22,6 +22,8 @@ GRAINS = {"1m": 60, "5m": 300, "10m": 600, "15m": 900, "30m": 1800, "1h": 3600,
 AGGREGATES = ("count", "sum", "min", "max", "tdigest", "hll")
 #: Columns every rollup table has of its own.
 IDENTITY = ("project_id", "timestamp", "date", "id", "updated_at", "deleted", "rollup_generation")
+#: Columns of point lookups, written with Bloom filters.
+NEEDLES = ("id", "parent_id", "context___trace_id", "context___span_id", "attributes___session___id", "attributes___user___id", "series_id", "metric_name")
 DEFAULT_TABLE = "otel_logs_and_spans"
 
 
@@ -174,7 +176,7 @@ def metrics_rollups() -> tuple[RollupSpec, ...]:
 def declared(name: str, schema: T.StructType, mutable: tuple[str, ...] = (), rollups: tuple[RollupSpec, ...] = (), **more) -> TableSchema:
     """A declaration taken over from a table's files, for the wide tables whose columns those files list."""
     kinds = {v: k for k, v in TYPES.items() if k not in ("UInt32", "UInt64")}
-    fields = tuple(Field(f.name, kinds[f.dataType], f.nullable, f.name in mutable) for f in schema.fields)
+    fields = tuple(Field(f.name, kinds[f.dataType], f.nullable, f.name in mutable, f.name in NEEDLES) for f in schema.fields)
     return TableSchema(name, fields, rollups=rollups, **more).validate()
 
 
