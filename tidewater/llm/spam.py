@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -42,6 +43,7 @@ THRESHOLD = 0.5
 MIN_LABELS = 200
 
 ZERO_WIDTH = re.compile("[\u200b\u200c\u200d\u2060\ufeff\u00ad]")
+ZERO_WIDTH_LETTERS = re.compile("(?:\\w\u200b){3}")
 LINK = re.compile(
     r"<a\s[^>]*>.*?</a>|\[[^\]\n]*\]\([^)\n]*\)|https?://[^\s,;<>\"']+|www\.[^\s,;<>\"']+"
     r"|\b[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,8}/[^\s,;<>\"']*|(?<![\w<.])/[a-z0-9_-]+(?:[/?.][\w./?=&-]*)?",
@@ -63,8 +65,13 @@ LOOKALIKES = str.maketrans({"@": "a", "0": "o", "3": "e", "1": "i", "$": "s", "4
 DISGUISED = re.compile(r"(?<![\w@.:/-])(?=[\w@]*[^\W\d_])(?=[\w@]*[@031])[^\W_@]*(?:[^\W\d_][@031]|[@031][^\W\d_])[\w@]*(?![\w.:/-])")
 
 
+#: Cheap sign that a part may have disguised letters at all.
+MAYBE_DISGUISED = re.compile(r"[^\W\d_][@031]|[@031][^\W\d_]")
+
+
 def _bin(x: float, *edges: float) -> int:
-    return sum(x > e for e in edges)
+    """How many of the rising edges x exceeds."""
+    return bisect_left(edges, x)
 
 
 @dataclass
@@ -104,6 +111,8 @@ def split_parts(text: str) -> list[str]:
 
 
 def _words(text: str) -> list[str]:
+    if text.isascii() or not CJK.search(text):
+        return WORD.findall(text)
     found = []
     for w in WORD.findall(text):
         if CJK.search(w):
@@ -116,22 +125,20 @@ def _words(text: str) -> list[str]:
 def describe(text: str) -> list[Part]:
     """The parts of a text with their features."""
     parts, before = [], set()
-    for raw in split_parts(unicodedata.normalize("NFKC", text)):
-        hidden = ZERO_WIDTH.search(raw) is not None
-        part = ZERO_WIDTH.sub("", raw)
-        if hidden and re.search(r"(?:\w\u200b){3}", raw):
-            disguised = 3
-        else:
-            disguised = 0
-        size = sum(not ch.isspace() for ch in part)
+    for raw in split_parts(text if text.isascii() else unicodedata.normalize("NFKC", text)):
+        part = raw if raw.isascii() else ZERO_WIDTH.sub("", raw)
+        disguised = 3 if part is not raw and ZERO_WIDTH_LETTERS.search(raw) else 0
+        size = len("".join(part.split()))
         if not size:
             continue
         links = LINK.findall(part)
         link_chars = sum(len(x) - x.count(" ") for x in links)
-        rest = LINK.sub(" ", part)
-        disguised += len(DISGUISED.findall(rest))
-        tags = len(HASHTAG.findall(rest))
-        folded = DISGUISED.sub(lambda m: m.group().translate(LOOKALIKES), rest).casefold()
+        rest = LINK.sub(" ", part) if links else part
+        hidden = MAYBE_DISGUISED.search(rest) is not None
+        if hidden:
+            disguised += len(DISGUISED.findall(rest))
+        tags = len(HASHTAG.findall(rest)) if "#" in rest else 0
+        folded = (DISGUISED.sub(lambda m: m.group().translate(LOOKALIKES), rest) if hidden else rest).casefold()
         words = _words(folded)
         n = max(1, len(words))
         distinct = set(words)
@@ -293,5 +300,9 @@ def flag(documents: DataFrame, model: LineModel, key: str = "doc_id", text: str
             share = [m.list_share(t) for t in b["t"]]
             yield pd.DataFrame({"k": b["k"], "list_share": share, "flagged": [s > m.threshold for s in share]})
 
-    out = documents.select(c(key).alias("k"), c(text).alias("t")).mapInPandas(run, f"k {kind}, list_share double, flagged boolean")
+    rows = documents.select(c(key).alias("k"), c(text).alias("t"))
+    cores = documents.sparkSession.sparkContext.defaultParallelism
+    if rows.rdd.getNumPartitions() < cores:  # a table of few splits would leave cores idle; of many, nothing moves
+        rows = rows.repartition(cores)
+    out = rows.mapInPandas(run, f"k {kind}, list_share double, flagged boolean")
     return out.withColumnRenamed("k", key)
