@@ -73,6 +73,16 @@ def test_compaction_keeps_the_state_and_the_tombstones(spark, table, tmp_path):
     assert small.versions().count() == 2 and names(small) == names(table)
 
 
+def test_dedup_rewrite_in_place(spark, table):
+    put(spark, table, ("a", "x", "p"), ("b", "y", "p"), ("c", "only", "q"))
+    put(spark, table, ("a", "x2", "p"))
+    table.delete("p", F.col("id") == "b")
+    state, files = names(table), {r.f for r in table.versions().where("project_id = 'q'").select(F.input_file_name().alias("f")).collect()}
+    assert table.dedup_rewrite() == 2 and table.versions().count() == 3 and names(table) == state
+    assert {r.f for r in table.versions().where("project_id = 'q'").select(F.input_file_name().alias("f")).collect()} == files
+    assert table.dedup_rewrite() == 0
+
+
 def test_filters_reach_the_partitions_below_the_ranking(spark, table):
     put(spark, table, ("a", "x", "p"), ("b", "y", "q"))
     plan = table.read().where("project_id = 'p' and date = date'2023-01-05' and name = 'x'")._jdf.queryExecution().executedPlan().toString()

@@ -1,5 +1,5 @@
 import random
-from datetime import datetime, timedelta
+from datetime import UTC, datetime, timedelta
 
 import pytest
 
@@ -42,7 +42,7 @@ def brute(rows):
 def as_dict(df):
     out = {}
     for r in df.collect():
-        k = (r.msg_id.replace("-", ""), datetime.utcfromtimestamp(r.ts_ms / 1000))
+        k = (r.msg_id.replace("-", ""), datetime.fromtimestamp(r.ts_ms / 1000, UTC).replace(tzinfo=None))
         assert k not in out
         out[k] = (r.deliveries, r.body)
     return out
@@ -58,6 +58,15 @@ def test_once(spark):
     same(as_dict(deliver_once(spark.createDataFrame(rows, SCHEMA))), brute(rows))
 
 
+def test_once_with_too_many_keys_to_broadcast(spark):
+    rows = make(9, 150)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        same(as_dict(deliver_once(spark.createDataFrame(rows, SCHEMA))), brute(rows))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_store_batch_by_batch(spark, tmp_path):
     df = spark.createDataFrame([], SCHEMA)
     store = MessageStore(spark, str(tmp_path), df.schema)

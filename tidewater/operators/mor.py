@@ -13,6 +13,7 @@ from tidewater.functions.ids import tenant
 from tidewater.operators.changefeed import current_rows, latest_changes
 from tidewater.schema import TableSchema
 from tidewater.session import c, fresh, materialize
+from tidewater.sources.store import partition_folders
 
 #: Rows the FROM source of an update may have.
 SOURCE_LIMIT = 1_000_000
@@ -184,6 +185,37 @@ class VersionedTable:
         newest.repartition(*[c(p) for p in self.schema.partitions]).write.partitionBy(*self.schema.partitions).parquet(target_path)
         return VersionedTable(self.spark, target_path, self.schema, self.clock, self.on_write)
 
+    def dedup_rewrite(self) -> int:
+        """Reduce the partitions that hold several versions of a key to the newest ones, in place; returns rows removed.
+
+        Only those partitions are read and written. The new files are staged and counted before the old ones go.
+        """
+        keys = list(dict.fromkeys([*self.schema.partitions, *self.schema.dedup_keys]))
+        parts = list(self.schema.partitions)
+        touched = materialize(self.duplicates().groupBy(*[c(p) for p in parts]).agg(F.sum("surplus").alias("surplus")))
+        removed = touched.agg(F.coalesce(F.sum("surplus"), F.lit(0))).first()[0]
+        if not removed:
+            return 0
+        on = [F.col(f"v.`{p}`").eqNullSafe(F.col(f"t.`{p}`")) for p in parts]
+        old = self.versions().alias("v").join(touched.alias("t"), on, "left_semi")
+        newest = latest_changes(old, keys, self.schema.version, self.schema.tombstone)
+        jvm = self.spark._jvm
+        path = lambda *x: jvm.org.apache.hadoop.fs.Path("/".join((self.path, *x)))
+        fs = path().getFileSystem(self.spark._jsc.hadoopConfiguration())
+        fs.delete(path("_staging"), True)
+        newest.repartition(*[c(p) for p in parts]).sortWithinPartitions(*[c(x) for x in self.schema.dedup_keys]).write.partitionBy(*parts).parquet(f"{self.path}/_staging")
+        n = self.spark.read.schema(self.schema.spark()).parquet(f"{self.path}/_staging").count()
+        if n != old.count() - removed:
+            raise DmlError(f"the rewrite has {n} rows; nothing was replaced")
+        for folder in partition_folders(touched, parts):
+            gone = [x.getPath() for x in fs.listStatus(path(folder))]
+            for x in fs.listStatus(path("_staging", folder)):
+                fs.rename(x.getPath(), path(folder, x.getPath().getName()))
+            for x in gone:
+                fs.delete(x, False)
+        fs.delete(path("_staging"), True)
+        return removed
+
     def duplicates(self) -> DataFrame:
         """Ten-minute bins that hold more than one version of a key: what a dedup rewrite has to touch."""
         t = F.unix_micros(c(self.schema.time_column).cast("timestamp"))
