@@ -18,6 +18,7 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -83,6 +84,7 @@ class Part:
 
 #: Values each feature can take; the last is how list-like the words are, filled in by the model.
 VALUES = (5, 3, 6, 5, 3, 3, 2, 2, 4, 5, 5, 8)
+_FIRST = np.concatenate(([0], np.cumsum(VALUES)[:-1]))
 #: So many scraps in a row, or equal ones in a page, are a list and not headings.
 SCRAPS = 4
 
@@ -131,7 +133,7 @@ def describe(text: str) -> list[Part]:
         size = len("".join(part.split()))
         if not size:
             continue
-        links = LINK.findall(part)
+        links = LINK.findall(part) if "/" in part or "www." in part or "](" in part else []
         link_chars = sum(len(x) - x.count(" ") for x in links)
         rest = LINK.sub(" ", part) if links else part
         hidden = MAYBE_DISGUISED.search(rest) is not None
@@ -143,9 +145,13 @@ def describe(text: str) -> list[Part]:
         n = max(1, len(words))
         distinct = set(words)
         tokens = max(1, len(rest.split()), n // 2)
-        seps = len(SEPARATOR.findall(rest)) + max(0, len(links) - 1)
-        items = [x for x in SEPARATOR.split(folded) if x.strip()]
-        pair = 0 if CJK.search(folded) else max(Counter(zip(words, words[1:])).values(), default=0)
+        seps = len(SEPARATOR.findall(rest))
+        items = [x for x in SEPARATOR.split(folded) if x.strip()] if seps > 1 else ()
+        seps += max(0, len(links) - 1)
+        pairs = list(zip(words, words[1:]))
+        pair = 1
+        if len(set(pairs)) < len(pairs) and (folded.isascii() or not CJK.search(folded)):
+            pair = max(Counter(pairs).values())
         repeated_items = 1 - len({x.strip() for x in items}) / len(items) if len(items) > 2 else 0.0
         features = [
             _bin(link_chars / size, 0, 0.2, 0.4, 0.65),
@@ -197,14 +203,14 @@ class LineModel:
         k = len(STATES)
         self.start = np.full(k, -np.log(k))
         self.step = np.full((k, k), -np.log(k))
-        self.emit = [np.zeros((k, v)) for v in VALUES]
+        self.flat = np.zeros((sum(VALUES), k))  # log emissions of every value of every feature, tempered
         self.lists: dict[str, float] = {}
         self.threshold = THRESHOLD
 
     def _word_bin(self, words: list[str]) -> int:
         if not words:
             return 7
-        s = sum(self.lists.get(w, 0.0) for w in words) / len(words)
+        s = sum(map(self.lists.get, words, repeat(0.0))) / len(words)
         return _bin(s, -1.6, -0.9, -0.3, 0.3, 0.9, 1.6)
 
     def label(self, parts: list[Part]) -> list[int]:
@@ -212,7 +218,7 @@ class LineModel:
         if not parts:
             return []
         x = np.array([[*p.features, self._word_bin(p.words)] for p in parts])
-        score = sum(e[:, x[:, f]].T for f, e in enumerate(self.emit)) * TEMPER
+        score = self.flat[x + _FIRST].sum(axis=1)
         # headings and other scraps of a few words tell nothing by themselves: their neighbours decide
         score[_scraps(x)] = 0.0
         best, back = self.start + score[0], []
@@ -256,7 +262,8 @@ class LineModel:
                     emit[f][s, v] += 1
         self.start = np.log(start / start.sum())
         self.step = np.log(step / step.sum(axis=1, keepdims=True))
-        self.emit = [np.log((1 - FLOOR) * e / e.sum(axis=1, keepdims=True) + FLOOR / e.shape[1]) for e in emit]
+        emit = [np.log((1 - FLOOR) * e / e.sum(axis=1, keepdims=True) + FLOOR / e.shape[1]) for e in emit]
+        self.flat = TEMPER * np.concatenate(emit, axis=1).T
 
     def fit(self, texts: list[str], labels: list[float | None]) -> LineModel:
         """Hard EM from the seeds; then the threshold that agrees with most labels, if there are enough of them."""
