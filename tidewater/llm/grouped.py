@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
@@ -24,11 +25,16 @@ def fold_groups(df: DataFrame, keys: list[str], fold: Callable, finish: Callable
         for batch in batches:
             if not len(batch):
                 continue
-            k = batch[keys].astype(object).where(batch[keys].notna(), None)
-            codes = pd.Series(list(map(tuple, k.to_numpy())))
-            change = [0, *(i for i in range(1, len(codes)) if codes.iat[i] != codes.iat[i - 1]), len(codes)] if len(keys) else [0, len(codes)]
-            for a, b in zip(change, change[1:]):
-                now = codes.iat[a]
+            begins = np.zeros(len(batch), dtype=bool)
+            begins[0] = True
+            for name in keys:
+                codes = pd.factorize(batch[name], use_na_sentinel=False)[0]
+                begins[1:] |= codes[1:] != codes[:-1]
+            starts = np.flatnonzero(begins)
+            named = batch[keys].iloc[starts].astype(object)
+            named = named.where(named.notna(), None).to_numpy()
+            for a, b, values in zip(starts, [*starts[1:], len(batch)], named):
+                now = tuple(values)
                 if key is not None and now != key:
                     out.append(finish(key, state))
                     state = None
