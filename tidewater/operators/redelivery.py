@@ -13,15 +13,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewater.functions.ids import message_id, tenant
-from tidewater.session import c, fresh, materialize, row_hash
+from tidewater.session import c, fresh, row_hash
 from tidewater.sources.store import PartitionStore, partition_folders
 
 #: Partitions a date is divided into, by project.
 SLOTS = 16
 #: Hash parts that the rows of one partition are written by, so that a hot partition is not one task's.
 WRITE_PARTS = 4
-#: Bytes a message key takes in memory, for deciding whether keys can be broadcast.
-KEY_BYTES = 100
 
 
 def messages(rows: DataFrame, identifier: str = "id", event_time: str = "timestamp", project: str = "project_id") -> DataFrame:
@@ -114,16 +112,14 @@ def ingest(spark: SparkSession, root: str, rows: DataFrame, stamp: str, batches:
 def deliver_once(rows: DataFrame, stamp: str = "updated_at") -> DataFrame:
     """Without a store: the winners of rows that are all at hand, with every column and `deliveries`.
 
-    Keys alone tell which messages came more than once. Where these are few enough to be broadcast, only their
-    copies are shuffled with all columns and every other row stays where it is; else all rows are, once.
+    Keys alone tell which messages came more than once. Where Spark finds these small enough to broadcast, only
+    their copies are shuffled with all columns and every other row stays where it is; else all rows are, once,
+    as both joins read the same exchange.
     """
     keyed = messages(rows)
-    repeated = materialize(keyed.groupBy("msg_id", "ts_ms").count().where("count > 1").select("msg_id", "ts_ms"))
-    limit = rows.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-    if repeated.count() * KEY_BYTES > limit:
-        return single_winners(keyed, stamp)
-    once = keyed.join(F.broadcast(repeated), ["msg_id", "ts_ms"], "left_anti").withColumn("deliveries", F.lit(1).cast("long"))
-    several = single_winners(keyed.join(F.broadcast(repeated), ["msg_id", "ts_ms"], "left_semi"), stamp)
+    repeated = keyed.groupBy("msg_id", "ts_ms").count().where("count > 1").select("msg_id", "ts_ms")
+    once = keyed.join(repeated, ["msg_id", "ts_ms"], "left_anti").withColumn("deliveries", F.lit(1).cast("long"))
+    several = single_winners(keyed.join(repeated, ["msg_id", "ts_ms"], "left_semi"), stamp)
     return several.select(*[c(x) for x in once.columns]).unionByName(once)
 
 
