@@ -9,14 +9,16 @@ from pyspark.sql import functions as F
 from tidewater.session import c, fresh, row_hash
 
 
-def latest_changes(changes: DataFrame, keys: list[str], version: str, tombstone: str | None = None) -> DataFrame:
+def latest_changes(
+    changes: DataFrame, keys: list[str], version: str, tombstone: str | None = None, then: tuple[Column, ...] = ()
+) -> DataFrame:
     """One row per key: the change with the greatest version.
 
     Window ranking with `rank = 1`: Catalyst puts a WindowGroupLimit on the map side, so of a key
     with very many versions each input partition ships one row, and no task ever holds a hot key.
 
     Defined results: a null version is older than every other; among equal versions a removal wins,
-    then the row with the greatest hash, so repeated rows collapse and the outcome never depends on
+    then the order `then`, then the row with the greatest hash, so repeated rows collapse and the outcome never depends on
     their order; null keys are keys like any other; an empty feed gives an empty table; columns
     that are not named travel along.
     """
@@ -24,7 +26,7 @@ def latest_changes(changes: DataFrame, keys: list[str], version: str, tombstone:
     order: list[Column] = [c(version).desc_nulls_last()]
     if tombstone:
         order.append(F.coalesce(c(tombstone), F.lit(False)).desc())
-    order.append(F.col(tie).desc())
+    order += [*then, F.col(tie).desc()]
     ranked = changes.withColumn(tie, row_hash(changes)).withColumn(
         rank, F.row_number().over(W.partitionBy(*[c(k) for k in keys]).orderBy(*order))
     )

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tidewater.session import materialize
 
 #: Rows of one tree that a single task may hold; larger trees are joined across the cluster.
-TREE_LIMIT = 200_000
+TREE_LIMIT = 500_000
 #: Rows that one bucket of whole trees holds on average.
 BUCKET_ROWS = 100_000
 #: Levels of the distributed joins between two checkpoints.

@@ -40,7 +40,8 @@ def live_files(actions: DataFrame) -> DataFrame:
         relative_path(c("path")).alias("path"), "commit_version", (c("action_type") == "remove").alias("removed"),
         tenant(c("project_id")).alias("project_id"), "date", "size_bytes", "num_records", "stamp",
     ).where(F.col("path").isNotNull() & F.col("commit_version").isNotNull() & c("action_type").isin("add", "remove"))
-    return latest_changes(known, ["path"], "commit_version", "removed").where(~F.col("removed")).drop("removed", "commit_version")
+    counted = F.col("num_records").desc_nulls_last()  # of an action that is logged again, the row that knows its records
+    return latest_changes(known, ["path"], "commit_version", "removed", (counted,)).where(~F.col("removed")).drop("removed", "commit_version")
 
 
 def small_live_files(actions: DataFrame, small_bytes: int = SMALL_BYTES, at_least: int = 2) -> DataFrame:

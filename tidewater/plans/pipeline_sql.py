@@ -50,7 +50,7 @@ WITH actions AS (
   SELECT *, regexp_extract(replace(replace(path, '%3D', '='), '%3d', '='), '(project_id=[^/]*/date=[^/]*/[^/]+\\.parquet)\\s*$', 1) AS rel
   FROM file_actions),
 ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY rel ORDER BY commit_version DESC, action_type = 'remove' DESC) AS rn
+  SELECT *, row_number() OVER (PARTITION BY rel ORDER BY commit_version DESC, action_type = 'remove' DESC, num_records DESC NULLS LAST) AS rn
   FROM actions WHERE rel <> '' AND commit_version IS NOT NULL),
 small AS (
   SELECT rel, coalesce(project_id, 'default') AS project_id, date, size_bytes, num_records,

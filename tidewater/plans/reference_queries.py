@@ -65,14 +65,14 @@ STATEMENTS: dict[str, tuple[str, str | None]] = {
     "distinct_picker": (f"SELECT DISTINCT resource___service___name AS service FROM {SPANS} WHERE resource___service___name IS NOT NULL", None),
     "cross_project_picker": (f"SELECT DISTINCT project_id FROM {SPANS} WHERE kind IN ('server', 'client', 'producer', 'consumer')", None),
     "pctl_bucket": (
-        f"SELECT {_T1H} AS t, COALESCE(approx_percentile(0.95, percentile_agg(CAST(duration AS DOUBLE PRECISION))), 0)::float / 1000000 AS p95 FROM {SPANS} WHERE duration IS NOT NULL GROUP BY time_bucket('1 hour', timestamp)",
-        f"SELECT {_bucket(3600)} AS t, COALESCE(quantile_cont(CAST(duration AS DOUBLE), 0.95), 0) / 1000000 AS p95 FROM {SPANS} WHERE duration IS NOT NULL GROUP BY 1",
+        f"SELECT {_T1H} AS t, ROUND(COALESCE(approx_percentile(0.95, percentile_agg(CAST(duration AS DOUBLE PRECISION))), 0)::float / 1000000, 4) AS p95 FROM {SPANS} WHERE duration IS NOT NULL GROUP BY time_bucket('1 hour', timestamp)",
+        f"SELECT {_bucket(3600)} AS t, ROUND(COALESCE(quantile_cont(CAST(duration AS DOUBLE), 0.95), 0) / 1000000, 4) AS p95 FROM {SPANS} WHERE duration IS NOT NULL GROUP BY 1",
     ),
     "pctl_array_unnest": (
-        f"SELECT s.service, u.p FROM (SELECT resource___service___name AS service, ARRAY[approx_percentile(0.5, percentile_agg(duration)), approx_percentile(0.9, percentile_agg(duration))] AS ps FROM {SPANS} WHERE duration IS NOT NULL GROUP BY 1) AS s CROSS JOIN LATERAL unnest(s.ps) AS u(p)",
-        f"SELECT service, unnest([quantile_cont(duration::DOUBLE, 0.5), quantile_cont(duration::DOUBLE, 0.9)]) AS p FROM (SELECT resource___service___name AS service, duration FROM {SPANS} WHERE duration IS NOT NULL) GROUP BY service",
+        f"SELECT s.service, ROUND(u.p, 1) AS p FROM (SELECT resource___service___name AS service, ARRAY[approx_percentile(0.5, percentile_agg(duration)), approx_percentile(0.9, percentile_agg(duration))] AS ps FROM {SPANS} WHERE duration IS NOT NULL GROUP BY 1) AS s CROSS JOIN LATERAL unnest(s.ps) AS u(p)",
+        f"SELECT service, unnest([ROUND(quantile_cont(duration::DOUBLE, 0.5), 1), ROUND(quantile_cont(duration::DOUBLE, 0.9), 1)]) AS p FROM (SELECT resource___service___name AS service, duration FROM {SPANS} WHERE duration IS NOT NULL) GROUP BY service",
     ),
-    "percentile_cont": ("SELECT event_type, percentile_cont(0.25) WITHIN GROUP (ORDER BY value) AS q FROM events GROUP BY event_type", "SELECT event_type, quantile_cont(value, 0.25) AS q FROM events GROUP BY event_type"),
+    "percentile_cont": ("SELECT event_type, round(percentile_cont(0.25) WITHIN GROUP (ORDER BY value), 6) AS q FROM events GROUP BY event_type", "SELECT event_type, round(quantile_cont(value, 0.25), 6) AS q FROM events GROUP BY event_type"),
     "log_list_topk": (f"SELECT id, extract(epoch from timestamp) AS t, name FROM {SPANS} ORDER BY timestamp DESC, id LIMIT 251", f"SELECT id, epoch_us(timestamp) / 1e6 AS t, name FROM {SPANS} ORDER BY timestamp DESC, id, name DESC LIMIT 251"),
     "cursor_page": (f"SELECT id FROM {SPANS} WHERE timestamp <= '2023-01-08T00:00:00Z' ORDER BY timestamp DESC, id LIMIT 100", f"SELECT id FROM {SPANS} WHERE timestamp <= TIMESTAMPTZ '2023-01-08 00:00:00+00' ORDER BY timestamp DESC, id LIMIT 100"),
     "offset_page": ("SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 40", None),
@@ -88,7 +88,7 @@ STATEMENTS: dict[str, tuple[str, str | None]] = {
     "dcount_merge": ("SELECT hll_count(hll_merge(s)) AS n FROM (SELECT event_type, hll_agg(user_id % 50) AS s FROM events GROUP BY event_type) AS x", "SELECT count(DISTINCT user_id % 50) AS n FROM events"),
     # aggregates, grouping, HAVING
     "aggregates": ("SELECT l_returnflag, count(*) AS n, count(l_tax) AS c, round(sum(l_quantity), 2) AS s, round(avg(l_discount), 6) AS a, min(l_shipdate)::text AS lo, max(l_extendedprice) AS hi FROM lineitem GROUP BY l_returnflag", "SELECT l_returnflag, count(*) AS n, count(l_tax) AS c, round(sum(l_quantity), 2) AS s, round(avg(l_discount), 6) AS a, min(l_shipdate)::VARCHAR AS lo, max(l_extendedprice) AS hi FROM lineitem GROUP BY 1"),
-    "median_stddev": ("SELECT event_type, median(value) AS m, round(stddev(value), 6) AS s FROM events GROUP BY event_type", None),
+    "median_stddev": ("SELECT event_type, round(median(value), 6) AS m, round(stddev(value), 6) AS s FROM events GROUP BY event_type", None),
     "having": ("SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 15", None),
     "group_by_ordinal": (f"SELECT kind, level, count(*)::float AS n FROM {SPANS} GROUP BY 1, 2 ORDER BY 3 DESC, 1, 2", f"SELECT kind, level, count(*)::DOUBLE AS n FROM {SPANS} GROUP BY 1, 2"),
     "grouping_sets": ("SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), ())", None),

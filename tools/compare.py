@@ -11,10 +11,13 @@ import pandas as pd
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
-spec = importlib.util.spec_from_file_location("__spark_entry__", f"{ROOT}/__spark_entry__.py")
-entry = importlib.util.module_from_spec(spec)
-spec.loader.exec_module(entry)
-from tidewater.session import local_session  # noqa: E402
+
+
+def entry_module():
+    spec = importlib.util.spec_from_file_location("__spark_entry__", f"{ROOT}/__spark_entry__.py")
+    module = importlib.util.module_from_spec(spec)
+    spec.loader.exec_module(module)
+    return module
 
 
 def canon(df: pd.DataFrame) -> list[tuple]:
@@ -30,17 +33,20 @@ def canon(df: pd.DataFrame) -> list[tuple]:
         if isinstance(v, bool):
             return str(v)
         if isinstance(v, (float, int)):
-            return f"{float(v):.6g}"
+            return f"{float(v):.9g}"
         if isinstance(v, pd.Timestamp):
             return v.tz_localize(None).isoformat() if v.tzinfo else v.isoformat()
         if hasattr(v, "isoformat"):
             return pd.Timestamp(v).isoformat()
-        return str(v) if not hasattr(v, "as_tuple") else f"{float(v):.6g}"
+        return str(v) if not hasattr(v, "as_tuple") else f"{float(v):.9g}"
 
     return sorted(tuple(one(v) for v in row) for row in df.itertuples(index=False, name=None))
 
 
 def main() -> int:
+    from tidewater.session import local_session
+
+    entry = entry_module()
     folder = f"/root/testdata/{sys.argv[1]}"
     names = sys.argv[2:] or list(entry.queries())
     spark = local_session()
