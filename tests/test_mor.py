@@ -83,6 +83,27 @@ def test_dedup_rewrite_in_place(spark, table):
     assert table.dedup_rewrite() == 0
 
 
+def test_certified_partitions_are_not_ranked_again(spark, table):
+    put(spark, table, ("a", "x", "p"), ("b", "y", "q"))
+    put(spark, table, ("a", "x2", "p"))
+    clean = spark.createDataFrame([("q", date(2023, 1, 5))], "project_id string, date date")
+    got = table.read(clean)
+    assert sorted((r.project_id, r.id, r.name) for r in got.collect()) == names(table)
+    assert got.columns == table.read().columns
+
+
+def test_routed_table(spark, tmp_path):
+    from tidewater.sources.tables import routed_table
+
+    df = spark.createDataFrame([("p", 1), ("q", 2), (None, 3)], "project_id string, v int")
+    for name, rows in (("shared", df), ("own", df.where("project_id = 'q'").withColumn("v", F.lit(20))), ("staged", df.limit(1))):
+        rows.write.parquet(str(tmp_path / name))
+    t = routed_table(spark, df.schema, str(tmp_path / "shared"), {"q": str(tmp_path / "own")}, [str(tmp_path / "staged")])
+    assert sorted(((r.project_id, r.v) for r in t.collect()), key=str) == [("p", 1), ("p", 1), ("q", 20), (None, 3)]
+    plan = t.where("project_id = 'p'")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") == 2
+
+
 def test_filters_reach_the_partitions_below_the_ranking(spark, table):
     put(spark, table, ("a", "x", "p"), ("b", "y", "q"))
     plan = table.read().where("project_id = 'p' and date = date'2023-01-05' and name = 'x'")._jdf.queryExecution().executedPlan().toString()

@@ -109,8 +109,17 @@ class VersionedTable:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
 
-    def read(self) -> DataFrame:
-        return resolve(self.versions(), self.schema)
+    def read(self, clean: DataFrame | None = None) -> DataFrame:
+        """Current rows. `clean` lists partitions (their columns) that are certified to hold one version of each key,
+        as after `dedup_rewrite`; these are not ranked again. Any later write to a partition ends its certificate.
+        """
+        if clean is None:
+            return resolve(self.versions(), self.schema)
+        v, parts = self.versions().alias("v"), clean.select(*[c(p) for p in self.schema.partitions]).distinct().alias("c")
+        on = [F.col(f"v.`{p}`").eqNullSafe(F.col(f"c.`{p}`")) for p in self.schema.partitions]
+        certified = v.join(parts, on, "left_semi")
+        certified = current_rows(certified, self.schema.tombstone) if self.schema.tombstone else certified
+        return certified.unionByName(resolve(v.join(parts, on, "left_anti"), self.schema))
 
     def _append(self, rows: DataFrame) -> int:
         stamp = F.timestamp_micros(F.lit(self.clock.stamp()).cast("long"))
