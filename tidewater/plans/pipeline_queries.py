@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewater.functions.ids import span_id, tenant, trace_id
 from tidewater.operators import changefeed, hierarchy, late_events, redelivery, small_files
-from tidewater.session import utc_micros, work_dir
+from tidewater.session import materialize, utc_micros, work_dir
 from tidewater.sources.tables import table
 
 KEYS = ["project_id", "timestamp", "id"]
@@ -80,10 +80,11 @@ def _fates(spark: SparkSession, d: str) -> DataFrame:
     rule = late_events.Lateness()
     events = _arrivals(spark, d)
     raw = table(spark, d, "otel_logs_and_spans").select(
-        tenant(F.col("project_id")).alias("source"), utc_micros(F.col("timestamp")).alias("event_us")
+        tenant(F.col("project_id")).alias("source"), rule.start(utc_micros(F.col("timestamp"))).alias("event_us")
     )
-    marks = late_events.scheduled_punctuations(raw, rule)
-    return late_events.classify(events, late_events.closing_times(raw, marks, rule), rule)
+    seen = materialize(raw.distinct())  # the periods of each source, as many as sources times hours
+    marks = late_events.scheduled_punctuations(seen, rule)
+    return late_events.classify(events, late_events.closing_times(seen, marks, rule), rule)
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
