@@ -50,6 +50,13 @@ def test_aggregates_are_corrected(spark):
     assert [tuple(r) for r in out] == [(10 * H, 1, 1, 1, 2, 3, 1)]
 
 
+def test_columns_of_the_helpers_names_survive(spark):
+    rule = le.Lateness()
+    df = events(spark, [("a", 10 * H, 11 * H, 1)]).selectExpr("*", "'mine' bound", "'too' closed_at", "7 fate")
+    out = le.classify(df, le.closing_times(df, le.scheduled_punctuations(df, rule), rule), rule).first()
+    assert (out.bound, out.closed_at, out.fate) == ("mine", "too", "on_time")
+
+
 def test_empty(spark):
     rule = le.Lateness()
     df = events(spark, [])

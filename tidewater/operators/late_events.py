@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewater.session import c
+from tidewater.session import c, fresh
 
 
 def _us(span: timedelta) -> int:
@@ -92,18 +92,21 @@ def closing_times(events: DataFrame, punctuations: DataFrame, rule: Lateness) ->
 def classify(events: DataFrame, closed: DataFrame, rule: Lateness) -> DataFrame:
     """Events plus period_us and fate: on_time, correction, diverted, or unknown without an arrival or event time.
 
-    An event of a period that is still open is on time. Limits belong to the earlier class.
+    An event of a period that is still open is on time. Limits belong to the earlier class. Other columns stay;
+    only ones of the two new names are replaced.
     """
     end = rule.end(F.col("event_us"))
     limit = end + F.lit(_us(rule.cutoff))
-    joined = events.withColumn("bound", end).join(closed, "bound", "left")
+    bound, at = fresh(events, "bound", "closed_at")
+    known = closed.select(F.col("bound").alias(bound), F.col("closed_at").alias(at))
+    joined = events.withColumn(bound, end).join(known, bound, "left")
     fate = (
         F.when(F.col("event_us").isNull() | F.col("arrival_us").isNull(), "unknown")
         .when(F.col("arrival_us") > limit, "diverted")
-        .when(F.col("arrival_us") > F.col("closed_at"), "correction")
+        .when(F.col("arrival_us") > F.col(at), "correction")
         .otherwise("on_time")
     )
-    return joined.withColumn("fate", fate).withColumn("period_us", rule.start(F.col("event_us"))).drop("bound", "closed_at")
+    return joined.withColumn("fate", fate).withColumn("period_us", rule.start(F.col("event_us"))).drop(bound, at)
 
 
 def corrected_aggregates(fates: DataFrame, value: str, by: list[str] = ()) -> DataFrame:
