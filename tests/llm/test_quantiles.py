@@ -90,6 +90,12 @@ def test_weights_and_empty(spark):
     assert q.DyadicSketch().quantile(0.5) is None
 
 
+def test_doubles_without_a_value_are_ignored(spark):
+    df = spark.createDataFrame([("a", None, x) for x in (1.9, float("nan"), float("inf"), -float("inf"), 1e300, None, -3.5)], "service string, date date, v double")
+    got = q.percentiles(q.sketches(df, KEYS, F.col("v")), KEYS, {"p0": 0.0, "p100": 1.0}).collect()
+    assert [(r.n, r.p0, r.p100) for r in got] == [(2, -3.0, 1.0)]
+
+
 def test_hot_group_is_reduced_before_the_shuffle(spark):
     df = spark.range(100_000).selectExpr("'hot' service", "cast(null as date) date", "id % 300 v")
     plan = q.sketches(df, KEYS, F.col("v"))._jdf.queryExecution().executedPlan().toString()

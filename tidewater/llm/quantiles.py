@@ -34,8 +34,11 @@ _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD
 
 
 def encode(value: Column) -> Column:
-    """The code of a 64-bit integer; null for null. Runs in the JVM."""
-    v = value.cast("long")
+    """The code of a number as a 64-bit integer; null for null, NaN, infinities and what a long cannot hold.
+
+    Fractions are cut off; scale values first where fractions matter. Runs in the JVM.
+    """
+    v = value.try_cast("long")
     m = F.when(v < 0, F.bitwise_not(v)).otherwise(v)
     bits = F.length(F.bin(m))
     shift = F.greatest(bits - F.lit(MANTISSA + 1), F.lit(0))
@@ -160,11 +163,11 @@ def sketches(df: DataFrame, keys: dict[str, str], value: Column, weight: Column
     """(keys..., sketch binary) per group; keys: output name -> type, columns of df; null values are ignored.
 
     Equal codes of a group are added up before anything shuffles, so a group has at most 2^CODE_BITS rows
-    however many values it holds, and hot groups need no special care. A null weight counts as 0; a null key
+    however many values it holds, and hot groups need no special care. NaN and infinities are ignored like nulls. A null weight counts as 0; a null key
     is a group of its own.
     """
     w = F.lit(1).cast("long") if weight is None else F.coalesce(weight.cast("long"), F.lit(0))
-    coded = df.where(value.isNotNull()).select(*keys, encode(value).alias("code"), w.alias("weight"))
+    coded = df.select(*keys, encode(value).alias("code"), w.alias("weight")).where("code is not null")
     counted = coded.groupBy(*keys, "code").agg(F.sum("weight").alias("weight"))
     schema = ", ".join([*(f"{k} {t}" for k, t in keys.items()), "sketch binary"])
     return fold_groups(counted, list(keys), _build, lambda k, s: (*k, s.to_bytes()), schema)
