@@ -5,7 +5,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -122,19 +122,21 @@ class VersionedTable:
         return certified.unionByName(resolve(v.join(parts, on, "left_anti"), self.schema))
 
     def _append(self, rows: DataFrame) -> int:
+        """Write rows under one stamp, counting them on the way. Rows may be read from the table itself: what a plan
+        reads is fixed when it is made, and files are only added."""
         stamp = F.timestamp_micros(F.lit(self.clock.stamp()).cast("long"))
         stamped = rows.withColumn(self.schema.version, stamp) if self.schema.version else rows
-        # the rows to write may be read from the table itself; a checkpointed copy also makes the count exact
-        ready = materialize(stamped.select(*[c(f.name) for f in self.schema.fields]))
-        n = ready.count()
-        if n:
-            writer = ready.sortWithinPartitions(*[c(x) for x in (self.schema.sort or self.schema.dedup_keys)]).write.mode("append")
-            for f in self.schema.fields:
-                if f.bloom:
-                    writer = writer.option(f"parquet.bloom.filter.enabled#{f.name}", "true")
-            writer.partitionBy(*self.schema.partitions).parquet(self.path)
-            if self.on_write:
-                self.on_write(ready)
+        ready = stamped.select(*[c(f.name) for f in self.schema.fields])
+        seen = Observation()
+        counted = ready.observe(seen, F.count(F.lit(1)).alias("n"))
+        writer = counted.sortWithinPartitions(*[c(x) for x in (self.schema.sort or self.schema.dedup_keys)]).write.mode("append")
+        for f in self.schema.fields:
+            if f.bloom:
+                writer = writer.option(f"parquet.bloom.filter.enabled#{f.name}", "true")
+        writer.partitionBy(*self.schema.partitions).parquet(self.path)
+        n = seen.get.get("n", 0)
+        if n and self.on_write:
+            self.on_write(ready)
         return n
 
     def insert(self, rows: DataFrame) -> int:
