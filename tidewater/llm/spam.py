@@ -83,7 +83,7 @@ class Part:
 
 
 #: Values each feature can take; the last is how list-like the words are, filled in by the model.
-VALUES = (5, 3, 6, 5, 3, 3, 2, 2, 4, 5, 5, 8)
+VALUES = (5, 3, 6, 5, 3, 3, 2, 2, 4, 5, 5, 4, 8)
 _FIRST = np.concatenate(([0], np.cumsum(VALUES)[:-1]))
 #: So many scraps in a row, or equal ones in a page, are a list and not headings.
 SCRAPS = 4
@@ -126,13 +126,15 @@ def _words(text: str) -> list[str]:
 
 def describe(text: str) -> list[Part]:
     """The parts of a text with their features."""
-    parts, before = [], set()
+    parts, before, fenced = [], set(), False
     for raw in split_parts(text if text.isascii() else unicodedata.normalize("NFKC", text)):
         part = raw if raw.isascii() else ZERO_WIDTH.sub("", raw)
         disguised = 3 if part is not raw and ZERO_WIDTH_LETTERS.search(raw) else 0
         size = len("".join(part.split()))
         if not size:
             continue
+        fence = part.lstrip().startswith("```")
+        fenced ^= fence
         links = LINK.findall(part) if "/" in part or "www." in part or "](" in part else []
         link_chars = sum(len(x) - x.count(" ") for x in links)
         rest = LINK.sub(" ", part) if links else part
@@ -151,7 +153,8 @@ def describe(text: str) -> list[Part]:
         pairs = list(zip(words, words[1:]))
         pair = 1
         if len(set(pairs)) < len(pairs) and (folded.isascii() or not CJK.search(folded)):
-            pair = max(Counter(pairs).values())
+            counts = Counter(pairs).values()
+            pair = sum(x for x in counts if x > 2) or 2
         repeated_items = 1 - len({x.strip() for x in items}) / len(items) if len(items) > 2 else 0.0
         features = [
             _bin(link_chars / size, 0, 0.2, 0.4, 0.65),
@@ -161,10 +164,11 @@ def describe(text: str) -> list[Part]:
             _bin(len(PRICE.findall(rest)) / tokens, 0, 0.08),
             _bin(disguised / tokens, 0, 0.08),
             int(SENTENCE_END.search(part) is not None),
-            int(link_chars < 0.4 * size and RECORD.search(part) is not None),
+            int(fenced or fence or (link_chars < 0.4 * size and RECORD.search(part) is not None)),
             _bin(len(distinct & before) / max(1, len(distinct)), 0.05, 0.3, 0.6),
             _bin(len(words), 2, 6, 12, 22),
             _bin(2 * pair / n if pair > 1 else 0.0, 0, 0.2, 0.3, 0.45),
+            _bin(len(links), 0, 1, 3),
         ]
         parts.append(Part(features, words, size))
         before = distinct
