@@ -18,8 +18,6 @@ from tidewater.sources.store import PartitionStore, partition_folders
 
 #: Partitions a date is divided into, by project.
 SLOTS = 16
-#: Hash parts that the rows of one partition are written by, so that a hot partition is not one task's.
-WRITE_PARTS = 4
 
 
 def messages(rows: DataFrame, identifier: str = "id", event_time: str = "timestamp", project: str = "project_id") -> DataFrame:
@@ -89,8 +87,8 @@ class MessageStore:
             history = self.data.read(folders)
             combined = history.select(*[c(x) for x in combined.columns]).unionByName(combined)
         won = single_winners(combined, self.stamp)
-        spread = F.pmod(F.xxhash64("msg_id"), F.lit(WRITE_PARTS))
-        placed = won.repartition("msg_date", "slot", spread)
+        # rebalancing gathers each partition's rows, splits a hot partition by size and joins small ones into a task
+        placed = won.hint("rebalance", F.col("msg_date"), F.col("slot"))
         # partitions that only receive new messages are appended to, the affected ones are overwritten
         generation, written = self.data.replace(placed, drop=folders, append=True)
         keys = self.data.read_generation(generation).select(F.xxhash64("msg_id", "ts_ms").alias("key_hash"), "msg_date", "slot")
