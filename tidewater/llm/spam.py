@@ -52,12 +52,16 @@ LINK = re.compile(
 )
 HASHTAG = re.compile(r"(?<!\w)#(?=\w)[\w-]+")
 PRICE = re.compile(r"(?<![\d.:])\d{1,4}[.,]\d{2}(?![\d.%:])")
-SEPARATOR = re.compile(r"[★|•/;,·»]|(?<=\s)[-–—](?=\s)")
+LIST_SIGNS = "★|•/;,·»"
+DASHES = "-–—"
+DASH = re.compile(rf"(?<=\s)[{DASHES}](?=\s)")
+SEPARATOR = re.compile(rf"[{LIST_SIGNS}]|{DASH.pattern}")
 RECORD = re.compile(
-    r"^\s*(?:[{}]|\||<\d+>\d|\[\w+\]\s|\$\s|```|\d{1,2}:\d\d(?::\d\d)?|[\w.-]+\s+\d\d:\d\d>|\w[\w.-]*\s*[=:]\s|def |for |if |yield |return |[\w.]+\s+[—|-]\s)"
-    r"|\b(?:INFO|WARN|ERROR|DEBUG|TRACE)\b"
+    r"\s*(?:[{}]|\||<\d+>\d|\[\w+\]\s|\$\s|```|\d{1,2}:\d\d(?::\d\d)?|[\w.-]+\s+\d\d:\d\d>|\w[\w.-]*\s*[=:]\s|def |for |if |yield |return |[\w.]+\s+[—|-]\s)"
 )
-SENTENCE_END = re.compile(r"[.!?。！？…]['\")\]]*\s*$")
+LEVELS = ("INFO", "WARN", "ERROR", "DEBUG", "TRACE")
+LEVEL = re.compile(rf"\b(?:{'|'.join(LEVELS)})\b")
+SENTENCE_ENDS = tuple(".!?。！？…")
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 CJK = re.compile("[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]")
 FULL_STOP = re.compile("(?<=[。！？])")
@@ -124,13 +128,18 @@ def _words(text: str) -> list[str]:
     return found
 
 
+def _is_record(part: str) -> bool:
+    return RECORD.match(part) is not None or (any(map(part.__contains__, LEVELS)) and LEVEL.search(part) is not None)
+
+
 def describe(text: str) -> list[Part]:
     """The parts of a text with their features."""
     parts, before, fenced = [], set(), False
     for raw in split_parts(text if text.isascii() else unicodedata.normalize("NFKC", text)):
         part = raw if raw.isascii() else ZERO_WIDTH.sub("", raw)
         disguised = 3 if part is not raw and ZERO_WIDTH_LETTERS.search(raw) else 0
-        size = len("".join(part.split()))
+        spaced = part.split()
+        size = sum(map(len, spaced))
         if not size:
             continue
         fence = part.lstrip().startswith("```")
@@ -138,7 +147,7 @@ def describe(text: str) -> list[Part]:
         links = LINK.findall(part) if "/" in part or "www." in part or "](" in part else []
         link_chars = sum(len(x) - x.count(" ") for x in links)
         rest = LINK.sub(" ", part) if links else part
-        hidden = MAYBE_DISGUISED.search(rest) is not None
+        hidden = any(map(rest.__contains__, "@031")) and MAYBE_DISGUISED.search(rest) is not None
         if hidden:
             disguised += len(DISGUISED.findall(rest))
         tags = len(HASHTAG.findall(rest)) if "#" in rest else 0
@@ -146,12 +155,12 @@ def describe(text: str) -> list[Part]:
         words = _words(folded)
         n = max(1, len(words))
         distinct = set(words)
-        tokens = max(1, len(rest.split()), n // 2)
-        seps = len(SEPARATOR.findall(rest))
+        tokens = max(1, len(rest.split()) if links else len(spaced), n // 2)
+        seps = sum(map(rest.count, LIST_SIGNS)) + (len(DASH.findall(rest)) if any(map(rest.__contains__, DASHES)) else 0)
         items = [x for x in SEPARATOR.split(folded) if x.strip()] if seps > 1 else ()
         seps += max(0, len(links) - 1)
-        pairs = list(zip(words, words[1:]))
         pair = 1
+        pairs = list(zip(words, words[1:])) if n - len(distinct) > 1 else ()  # a pair comes again with both its words
         if len(set(pairs)) < len(pairs) and (folded.isascii() or not CJK.search(folded)):
             counts = Counter(pairs).values()
             pair = sum(x for x in counts if x > 2) or 2
@@ -163,8 +172,8 @@ def describe(text: str) -> list[Part]:
             _bin(seps / (tokens + len(links)), 0, 0.08, 0.18, 0.34),
             _bin(len(PRICE.findall(rest)) / tokens, 0, 0.08),
             _bin(disguised / tokens, 0, 0.08),
-            int(SENTENCE_END.search(part) is not None),
-            int(fenced or fence or (link_chars < 0.4 * size and RECORD.search(part) is not None)),
+            int(part.rstrip().rstrip("'\")]")[-1:] in SENTENCE_ENDS),
+            int(fenced or fence or (link_chars < 0.4 * size and _is_record(part))),
             _bin(len(distinct & before) / max(1, len(distinct)), 0.05, 0.3, 0.6),
             _bin(len(words), 2, 6, 12, 22),
             _bin(2 * pair / n if pair > 1 else 0.0, 0, 0.2, 0.3, 0.45),
