@@ -62,3 +62,35 @@ def test_splits_are_packed_without_a_shuffle(spark, tmp_path):
     spark.range(1_000).repartition(30).write.parquet(root)
     df = sf.packed(spark, [root], 10_000, 1 << 20)
     assert df.rdd.getNumPartitions() == 1 and "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_files_with_different_columns_keep_all_values(spark, tmp_path):
+    for order in (["new", "old"], ["old", "new"]):
+        root = str(tmp_path / order[0])
+        for k, kind in enumerate(order):
+            extra = ["id", "'kept' added", "named_struct('a', 1, 'b', id) s"] if kind == "new" else ["id", "named_struct('a', 2) s"]
+            spark.range(50 * k, 50 * k + 50).selectExpr(*extra).coalesce(1).write.parquet(f"{tmp_path}/{order[0]}-{k}")
+            (tmp_path / order[0]).mkdir(exist_ok=True)
+            next((tmp_path / f"{order[0]}-{k}").glob("*.parquet")).rename(tmp_path / order[0] / f"{k}.parquet")
+        before = sorted(map(str, spark.read.option("mergeSchema", "true").parquet(root).select("id", "added", "s.a", "s.b").collect()))
+        done = sf.compact(spark, root, small_bytes=1 << 20)
+        assert [(r.files_before, r.files_after, r.rows) for r in done] == [(2, 1, 100)]
+        after = spark.read.parquet(root)
+        assert after.where("added = 'kept'").count() == 50
+        assert sorted(map(str, after.select("id", "added", "s.a", "s.b").collect())) == before
+
+
+def test_types_that_conflict_are_refused(spark, tmp_path):
+    root = str(tmp_path / "t")
+    for kind in ("int", "string"):
+        spark.range(10).selectExpr(f"cast(id as {kind}) x").coalesce(1).write.mode("append").parquet(root)
+    files = sorted(p.name for p in (tmp_path / "t").glob("*.parquet"))
+    with pytest.raises(Exception, match="MERGE"):
+        sf.compact(spark, root, small_bytes=1 << 20)
+    assert sorted(p.name for p in (tmp_path / "t").glob("*.parquet")) == files
+
+
+@pytest.mark.parametrize("column", ["map('k', {0})", "array(map({0}, 'v'))", "parse_json('{{\"a\":{0}}}')", "named_struct('v', parse_json('{0}'), 'm', map(1, {0}))"])
+def test_digest_sees_maps_and_variants(spark, column):
+    one, other, again = (sf._digest(spark.range(3).selectExpr("id", column.format(x) + " x")) for x in (1, 2, 1))
+    assert one == again != other

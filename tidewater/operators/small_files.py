@@ -7,10 +7,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewater.functions.ids import tenant
 from tidewater.operators.changefeed import latest_changes
-from tidewater.session import c, row_hash, work_dir
+from tidewater.session import c, hashable, row_hash, work_dir
 
 #: Files below this size are worth merging.
 SMALL_BYTES = 32_768
@@ -85,14 +86,35 @@ class VerificationFailed(RuntimeError):
     """The staged output does not hold exactly the rows of the input; nothing was replaced."""
 
 
+def _comparable(value: Column, kind: T.DataType) -> Column:
+    """The value with maps as arrays of their entries and variants as type and JSON text, which can be hashed."""
+    if hashable(kind):
+        return value
+    if isinstance(kind, T.MapType):
+        return F.transform(
+            F.map_entries(value), lambda e: F.struct(_comparable(e["key"], kind.keyType).alias("key"), _comparable(e["value"], kind.valueType).alias("value"))
+        )
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: _comparable(x, kind.elementType))
+    if isinstance(kind, T.StructType):
+        return F.when(value.isNotNull(), F.struct(*[_comparable(value.getField(f.name), f.dataType).alias(f.name) for f in kind.fields]))
+    return F.when(value.isNotNull(), F.struct(F.schema_of_variant(value).alias("type"), F.to_json(value).alias("json")))
+
+
 def _digest(df: DataFrame) -> tuple[int, str]:
     """Rows, and an order-free digest of their contents: sums of two independent hashes of every column."""
+    df = df.select([_comparable(c(f.name), f.dataType).alias(f.name) for f in df.schema.fields])
     h = row_hash(df)
     total = lambda x: F.coalesce(F.sum(x.cast("decimal(38,0)")), F.lit(0)).cast("string")
     n, a, b = df.select(h.alias("h")).agg(F.count("*"), total(F.col("h")), total(F.xxhash64(F.col("h"), F.lit(1)))).first()
     return n, f"{a}/{b}"
 
 
+def _read(spark: SparkSession, files: list[str]) -> DataFrame:
+    """Files with the columns that any of them has; fails where they have a column in types that don't merge."""
+    return spark.read.option("mergeSchema", "true").parquet(*files)
+
+
 def packed(spark: SparkSession, files: list[str], size: int, target_bytes: int) -> DataFrame:
     """Files read as combined splits of about `target_bytes`: the engine's own packing, and no shuffle."""
     own = spark.newSession()
@@ -100,14 +122,14 @@ def packed(spark: SparkSession, files: list[str], size: int, target_bytes: int)
     own.conf.set("spark.sql.files.openCostInBytes", str(OPEN_COST_BYTES))
     own.conf.set("spark.sql.files.minPartitionNum", "1")
     want = max(1, -(-size // target_bytes))
-    return own.read.parquet(*files).coalesce(want)
+    return _read(own, files).coalesce(want)
 
 
 def rewrite(spark: SparkSession, files: list[str], size: int, out: str, target_bytes: int = TARGET_BYTES, sort: list[str] = ()) -> int:
     """Write the rows of `files` to the staging folder `out`, verify it, return the number of rows."""
     merged = packed(spark, files, size, target_bytes)
     (merged.sortWithinPartitions(*[c(x) for x in sort]) if sort else merged).write.parquet(out)
-    before, after = _digest(spark.read.parquet(*files)), _digest(spark.read.schema(merged.schema).parquet(out))
+    before, after = _digest(_read(spark, files)), _digest(spark.read.schema(merged.schema).parquet(out))
     if before != after:
         raise VerificationFailed(f"{before} in, {after} out")
     return after[0]
@@ -118,7 +140,8 @@ def compact(spark: SparkSession, root: str, small_bytes: int = SMALL_BYTES, targ
 
     Output is staged next to the table in _staging, verified against the input by row count and content digest,
     then moved in before the old files are removed; a failure before the move leaves the table as it was. One
-    small job per partition folder, `parallel` at a time; the driver holds file names and sizes only.
+    small job per partition folder, `parallel` at a time; the driver holds file names and sizes only. Files of a
+    folder may differ in columns: the output has all of them. Types that don't merge fail before anything is written.
     """
     jvm = spark._jvm
     fs = jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark._jsc.hadoopConfiguration())
