@@ -50,6 +50,17 @@ def test_aggregates_are_corrected(spark):
     assert [tuple(r) for r in out] == [(10 * H, 1, 1, 1, 2, 3, 1)]
 
 
+def test_whole_aggregates_hold_every_event(spark):
+    rule = le.Lateness()
+    rows = [("a", 10 * H, 10 * H, 1), ("a", 10 * H, 12 * H, 2), ("a", 10 * H, 90 * H, 4), ("a", 10 * H, None, 8), ("a", 20 * H, None, 16), ("a", None, 5, 32)]
+    df = events(spark, rows)
+    fates = le.classify(df, le.closing_times(df, le.scheduled_punctuations(df, rule), rule), rule)
+    out = {r.period_us: tuple(r)[1:] for r in le.corrected_aggregates(fates, "v", whole=True).collect()}
+    assert out == {
+        10 * H: (1, 1, 1, 2, 3, 1, 4, 1, 8), 20 * H: (0, None, 0, 0, None, 0, None, 1, 16), None: (0, None, 0, 0, None, 0, None, 1, 32),
+    }
+
+
 def test_columns_of_the_helpers_names_survive(spark):
     rule = le.Lateness()
     df = events(spark, [("a", 10 * H, 11 * H, 1)]).selectExpr("*", "'mine' bound", "'too' closed_at", "7 fate")

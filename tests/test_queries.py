@@ -34,5 +34,17 @@ def test_same_rows(spark, con, name):
         assert canon(got) == canon(want)
 
 
+def test_hourly_aggregates_hold_every_message(spark, con):
+    """p4_hourly leaves out messages without an arrival time, as its SQL does; p4_hourly_whole has them."""
+    got = QUERIES["p4_hourly_whole"](spark, FOLDER).toPandas()
+    want = con.execute(pipeline_sql._FATES + """
+SELECT count(*) AS n, sum(duration) AS total, count(*) FILTER (fate = 'unknown') AS unknown_n, sum(duration) FILTER (fate = 'unknown') AS unknown_sum FROM fates""").df().iloc[0]
+    assert want.unknown_n > 0 and got.unknown_n.sum() == want.unknown_n and got.unknown_sum.sum() == want.unknown_sum
+    assert got[["final_n", "diverted_n", "unknown_n"]].to_numpy().sum() == want.n
+    assert got[["final_sum", "diverted_sum", "unknown_sum"]].fillna(0).to_numpy().sum() == want.total
+    known = QUERIES["p4_hourly"](spark, FOLDER).toPandas()
+    assert canon(got[got.final_n + got.diverted_n > 0][known.columns]) == canon(known)
+
+
 def test_every_statement_has_sql():
     assert set(reference_queries.STATEMENTS) <= set(SQL) and set(SQL) <= set(QUERIES)

@@ -109,12 +109,18 @@ def classify(events: DataFrame, closed: DataFrame, rule: Lateness) -> DataFrame:
     return joined.withColumn("fate", fate).withColumn("period_us", rule.start(F.col("event_us"))).drop(bound, at)
 
 
-def corrected_aggregates(fates: DataFrame, value: str, by: list[str] = ()) -> DataFrame:
-    """Per period: what was published, what it became by the cut-off, and what was diverted."""
-    on, fix = F.col("fate") == "on_time", F.col("fate") == "correction"
+def corrected_aggregates(fates: DataFrame, value: str, by: list[str] = (), whole: bool = False) -> DataFrame:
+    """Per period: what was published, what it became by the cut-off, and what was diverted.
+
+    `whole` adds diverted_sum, unknown_n and unknown_sum: events without an arrival time are counted as unknown in
+    the period of their event time, those without an event time in the period null, so that final, diverted and
+    unknown add up to all events. Otherwise unknown events are left out.
+    """
+    on, fix, late, unknown = (F.col("fate") == x for x in ("on_time", "correction", "diverted", "unknown"))
     v = c(value)
-    return fates.where(F.col("fate") != "unknown").groupBy(*by, "period_us").agg(
+    rest = [F.sum(F.when(late, v)).alias("diverted_sum"), F.count_if(unknown).alias("unknown_n"), F.sum(F.when(unknown, v)).alias("unknown_sum")]
+    return (fates if whole else fates.where(~unknown)).groupBy(*by, "period_us").agg(
         F.count_if(on).alias("published_n"), F.sum(F.when(on, v)).alias("published_sum"),
         F.count_if(fix).alias("corrections"), F.count_if(on | fix).alias("final_n"),
-        F.sum(F.when(on | fix, v)).alias("final_sum"), F.count_if(F.col("fate") == "diverted").alias("diverted_n"),
+        F.sum(F.when(on | fix, v)).alias("final_sum"), F.count_if(late).alias("diverted_n"), *(rest if whole else []),
     )

@@ -99,6 +99,15 @@ def p4_hourly(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p4_hourly_whole(spark: SparkSession, d: str) -> DataFrame:
+    """p4_hourly with the messages that have no arrival time, so that final, diverted and unknown are all messages."""
+    hour = F.date_format(F.timestamp_micros(F.col("period_us")), "yyyy-MM-dd HH")
+    return late_events.corrected_aggregates(_fates(spark, d), "duration", whole=True).select(
+        hour.alias("period"), "published_n", "published_sum", "corrections", "final_n", "final_sum",
+        "diverted_n", "diverted_sum", "unknown_n", "unknown_sum",
+    )
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """The flushes of the first half of the time are history, the rest arrives as a batch."""
     rows = table(spark, d, "otel_logs_and_spans").select("id", "timestamp", "project_id", "updated_at")
@@ -124,5 +133,5 @@ def p7_plan(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_incremental, p3_found, p3_hierarchy, p3_descendants, p4_found, p4_hourly, p6_found, p6_messages, p7_found, p7_plan)
+    for f in (p1_found, p1_incremental, p3_found, p3_hierarchy, p3_descendants, p4_found, p4_hourly, p4_hourly_whole, p6_found, p6_messages, p7_found, p7_plan)
 }
