@@ -4,7 +4,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from tidewater.operators.hierarchy import descendants, hierarchies
+from tidewater.operators.hierarchy import descendant_counts, descendants, hierarchies
 
 SCHEMA = "tree string, node string, parent string, note string, depth int"
 
@@ -76,5 +76,46 @@ def test_descendants(spark):
     assert got == want
 
 
+def brute_counts(rows):
+    """Descendants and height of each node by a breadth-first walk of its children."""
+    parent, children, out = {}, {}, {}
+    for t, n, p, *_ in rows:
+        if t is not None and n is not None:
+            old = parent.get((t, n), p)
+            parent[t, n] = min((x for x in (old, p) if x is not None), default=None)
+    for (t, n), p in parent.items():
+        children.setdefault((t, p), []).append(n)
+    for t, n in parent:
+        seen, level, height = {n}, [n], 0
+        while level := [y for x in level for y in children.get((t, x), ()) if y not in seen]:
+            seen.update(level)
+            height += 1
+        out[t, n] = (len(seen) - 1, height)
+    return out
+
+
+#: Below the circle p-q-r-p hang trees of different depth; s is its own parent.
+CIRCLES = [
+    *[("t", n, p, "", 0) for n, p in zip("pqrabcdefs", "qrppabqees", strict=True)], ("t", "g", "s", "", 0), ("t", "h", "g", "", 0),
+    ("t", "x", None, "", 0), ("t", "y", "x", "", 0), ("u", "p", "q", "", 0), ("u", "q", "p", "", 0),
+]
+
+
+@pytest.mark.parametrize("limit", [1_000, 0])
+def test_descendants_of_every_node(spark, limit):
+    links = [("r", str(i), str((i + 1) % 40), "", 0) for i in range(40)] + [("r", f"{i}-{k}", f"{i}-{k - 1}" if k else str(i), "", 0) for i in (3, 7, 30) for k in range(i)]
+    for rows in ([*CIRCLES, *links], CASES):
+        got = {(r.tree, r.node): (r.descendants, r.height) for r in descendant_counts(spark.createDataFrame(rows, SCHEMA), tree_limit=limit).collect()}
+        assert got == brute_counts(rows)
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.sampled_from("tu"), st.sampled_from("abcdefgh"), st.sampled_from("abcdefghz")), max_size=25))
+def test_descendants_of_random_links(spark, links):
+    rows = [(*x, None, 0) for x in links]
+    got = descendant_counts(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {(r.tree, r.node): (r.descendants, r.height) for r in got} == brute_counts(rows) and len(got) == len(brute_counts(rows))
+
+
 def test_empty(spark):
     assert hierarchies(spark.createDataFrame([], SCHEMA)).count() == 0

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -227,8 +228,66 @@ def descendants(tree: DataFrame) -> DataFrame:
     """(tree, ancestor, node, distance): every descendant of each node, from the paths of `hierarchies`.
 
     Ancestor pairs run along the paths only, so their number is the sum of the depths. Nodes on or below a
-    circle have no path and no pairs.
+    circle have no path and no pairs; `descendant_counts` covers them.
     """
     return tree.where(F.col("path").isNotNull()).select(
         "tree", "node", "depth", F.posexplode(F.slice("path", F.lit(1), F.col("depth"))).alias("at", "ancestor")
     ).select("tree", "ancestor", "node", (F.col("depth") - F.col("at")).alias("distance"))
+
+
+COUNTS = "tree string, node string, descendants long, height int"
+
+
+def around_circles(parent: np.ndarray, below: np.ndarray, height: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Descendants and height of nodes that all lie on circles, from what hangs below each off its circle.
+
+    A node on a circle reaches all other nodes on it and all that hangs below any of them; the circle is walked
+    once, so the node itself is no descendant of its own.
+    """
+    count, reach, seen = np.empty(len(parent), dtype=np.int64), np.empty(len(parent), dtype=np.int64), np.zeros(len(parent), dtype=bool)
+    for first in range(len(parent)):
+        if seen[first]:
+            continue
+        ring, x = [], first
+        while not seen[x]:
+            seen[x] = True
+            ring.append(x)
+            x = parent[x]
+        k, at = len(ring), np.arange(len(ring))
+        # the m-th child along the circle of ring[i] is ring[i - m], at the distance m: the greatest of m + height
+        own = height[ring] - at
+        up_to = np.maximum.accumulate(own)
+        after = np.append(np.maximum.accumulate(own[::-1])[::-1][1:], np.iinfo(np.int64).min // 2)
+        reach[ring] = at + np.maximum(up_to, after + k)
+        count[ring] = k - 1 + below[ring].sum()
+    return count, reach
+
+
+def _circle_counts(table: pa.Table) -> pa.Table:
+    """The nodes of one tree that are on circles: tree, node, parent, below, height."""
+    node, parent = table.column("node").combine_chunks(), table.column("parent").combine_chunks()
+    up = pc.index_in(parent, node).to_numpy(zero_copy_only=False).astype(np.int64)
+    below, height = (table.column(k).to_numpy().astype(np.int64) for k in ("below", "height"))
+    count, reach = around_circles(up, below, height)
+    return pa.table({"tree": table.column("tree"), "node": node, "descendants": count, "height": pa.array(reach.astype(np.int32))})
+
+
+def descendant_counts(links: DataFrame, **limits: int) -> DataFrame:
+    """(tree, node, descendants, height) of every node, 0 and 0 where it has none.
+
+    Descendants are all nodes reached through children, each once and never the node itself; the height is the
+    distance of the farthest. So a node below a circle has its subtree, and a node on a circle the rest of the circle
+    and what hangs below any of its nodes. The unreached nodes are walked again from the circles with the circles'
+    links cut. A task holds the circle nodes of one tree. `limits` are those of `hierarchies`.
+    """
+    nodes = materialize(hierarchies(links, with_path=True, **limits))
+    lost = nodes.where(F.col("cycle").isNotNull())
+    cut = materialize(hierarchies(lost.withColumn("parent", F.when(F.col("cycle") == "below", F.col("parent"))), with_path=True, **limits))
+    pairs = descendants(nodes).unionByName(descendants(cut.withColumn("path", F.slice("path", 2, F.size("path"))).withColumn("depth", F.col("depth") - 1).where("depth >= 0")))
+    alone = nodes.where("cycle is null or cycle = 'below'").select("tree", F.col("node").alias("ancestor"), F.lit(None).cast("int").alias("distance"))
+    plain = pairs.select("tree", "ancestor", "distance").unionByName(alone).groupBy("tree", F.col("ancestor").alias("node")).agg(
+        F.count("distance").alias("descendants"), F.coalesce(F.max("distance"), F.lit(0)).alias("height")
+    )
+    hanging = cut.groupBy("tree", F.col("root").alias("node")).agg((F.count("*") - 1).alias("below"), F.max("depth").alias("height"))
+    on = lost.where("cycle = 'on'").select("tree", "node", "parent").join(hanging, ["tree", "node"])
+    return plain.unionByName(on.groupBy("tree").applyInArrow(_circle_counts, COUNTS))

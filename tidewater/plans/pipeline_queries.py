@@ -66,6 +66,11 @@ def p3_descendants(spark: SparkSession, d: str) -> DataFrame:
     return pairs.groupBy("tree", "ancestor").agg(F.count("*").alias("descendants"), F.max("distance").alias("height"))
 
 
+def p3_descendants_whole(spark: SparkSession, d: str) -> DataFrame:
+    """p3_descendants for every span: 0 where there are none, and those on and below circles."""
+    return hierarchy.descendant_counts(_links(spark, d)).withColumnRenamed("node", "ancestor")
+
+
 def _arrivals(spark: SparkSession, d: str) -> DataFrame:
     """One row per message: it arrived with its first copy that has an arrival time."""
     rows = table(spark, d, "otel_logs_and_spans").select("id", "timestamp", "observed_timestamp", "project_id", "duration")
@@ -133,5 +138,5 @@ def p7_plan(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_incremental, p3_found, p3_hierarchy, p3_descendants, p4_found, p4_hourly, p4_hourly_whole, p6_found, p6_messages, p7_found, p7_plan)
+    for f in (p1_found, p1_incremental, p3_found, p3_hierarchy, p3_descendants, p3_descendants_whole, p4_found, p4_hourly, p4_hourly_whole, p6_found, p6_messages, p7_found, p7_plan)
 }
