@@ -46,5 +46,15 @@ SELECT count(*) AS n, sum(duration) AS total, count(*) FILTER (fate = 'unknown')
     assert canon(got[got.final_n + got.diverted_n > 0][known.columns]) == canon(known)
 
 
+def test_compaction_runs_on_the_files_of_the_log(spark, con):
+    got = QUERIES["p7_compacted"](spark, FOLDER).toPandas().set_index(["project_id", "date"])
+    rows = con.execute("SELECT coalesce(project_id, 'default') AS project_id, date, count(*) AS n FROM otel_logs_and_spans GROUP BY ALL").df()
+    assert sum(got.rows_after) == sum(rows.n) and len(got) == len(rows) and (got.rows_before == got.rows_after).all()
+    assert (got.files_after == 1).all()
+    plan = con.execute(SQL["p7_plan"]).df()
+    few = got[got.files_before > 1].files_before
+    assert 0 < len(few) <= len(plan) and 0.9 * plan.files_before.sum() < few.sum() <= plan.files_before.sum()
+
+
 def test_every_statement_has_sql():
     assert set(reference_queries.STATEMENTS) <= set(SQL) and set(SQL) <= set(QUERIES)

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from tidewater.functions.ids import tenant
 from tidewater.operators.changefeed import latest_changes
-from tidewater.session import c, hashable, row_hash, work_dir
+from tidewater.session import c, fresh, hashable, materialize, work_dir
 
 #: Files below this size are worth merging.
 SMALL_BYTES = 32_768
@@ -86,27 +86,36 @@ class VerificationFailed(RuntimeError):
     """The staged output does not hold exactly the rows of the input; nothing was replaced."""
 
 
-def _comparable(value: Column, kind: T.DataType) -> Column:
-    """The value with maps as arrays of their entries and variants as type and JSON text, which can be hashed."""
+def _comparable(value: str, kind: T.DataType, depth: int = 0) -> str:
+    """The SQL of a value with maps as arrays of their entries and variants as type and JSON text, which can be hashed."""
     if hashable(kind):
         return value
+    x = f"x{depth}"
     if isinstance(kind, T.MapType):
-        return F.transform(
-            F.map_entries(value), lambda e: F.struct(_comparable(e["key"], kind.keyType).alias("key"), _comparable(e["value"], kind.valueType).alias("value"))
-        )
+        key, held = _comparable(f"{x}.key", kind.keyType, depth + 1), _comparable(f"{x}.value", kind.valueType, depth + 1)
+        return f"transform(map_entries({value}), {x} -> struct({key} AS key, {held} AS value))"
     if isinstance(kind, T.ArrayType):
-        return F.transform(value, lambda x: _comparable(x, kind.elementType))
+        return f"transform({value}, {x} -> {_comparable(x, kind.elementType, depth + 1)})"
     if isinstance(kind, T.StructType):
-        return F.when(value.isNotNull(), F.struct(*[_comparable(value.getField(f.name), f.dataType).alias(f.name) for f in kind.fields]))
-    return F.when(value.isNotNull(), F.struct(F.schema_of_variant(value).alias("type"), F.to_json(value).alias("json")))
+        fields = ", ".join(_comparable(f"{value}.{_quoted(f.name)}", f.dataType, depth) + f" AS {_quoted(f.name)}" for f in kind.fields)
+        return f"if({value} IS NULL, NULL, struct({fields}))"
+    return f"if({value} IS NULL, NULL, struct(schema_of_variant({value}) AS type, to_json({value}) AS json))"
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
 def _digest(df: DataFrame) -> tuple[int, str]:
-    """Rows, and an order-free digest of their contents: sums of two independent hashes of every column."""
-    df = df.select([_comparable(c(f.name), f.dataType).alias(f.name) for f in df.schema.fields])
-    h = row_hash(df)
-    total = lambda x: F.coalesce(F.sum(x.cast("decimal(38,0)")), F.lit(0)).cast("string")
-    n, a, b = df.select(h.alias("h")).agg(F.count("*"), total(F.col("h")), total(F.xxhash64(F.col("h"), F.lit(1)))).first()
+    """Rows, and an order-free digest of their contents: sums of two independent hashes of every column.
+
+    In SQL text, as building hundreds of columns one by one takes longer than a small job.
+    """
+    fields = sorted(df.schema.fields, key=lambda f: f.name)
+    texts = [f"coalesce(cast({_comparable(_quoted(f.name), f.dataType)} AS string), char(0))" for f in fields]
+    total = lambda x: f"cast(coalesce(sum(cast({x} AS decimal(38,0))), 0) AS string)"
+    hashed = df.selectExpr(f"xxhash64({', '.join(texts)}) AS h" if texts else "0L AS h")
+    n, a, b = hashed.selectExpr("count(*)", total("h"), total("xxhash64(h, 1)")).first()
     return n, f"{a}/{b}"
 
 
@@ -135,6 +144,22 @@ def rewrite(spark: SparkSession, files: list[str], size: int, out: str, target_b
     return after[0]
 
 
+def lay_out(rows: DataFrame, files: DataFrame, root: str, key: list[str]) -> None:
+    """Write `rows` below `root` as project_id=.../date=..., each partition in as many files as `files` (project_id, date) has rows of it.
+
+    A partition without any gets one file. Rows go to a file by the hash of `key`. The n-th file of a partition is written
+    by task n, shifted by the partition so that tasks get about as many files each; there are as many tasks as a partition has files at most.
+    """
+    counts = materialize(files.groupBy("project_id", "date").agg(F.count("*").alias("files")))
+    most = counts.agg(F.coalesce(F.max("files"), F.lit(1))).first()[0]
+    n, to = fresh(rows, "files", "task")
+    wanted = counts.select(F.col("project_id").alias("p"), F.col("date").alias("d"), F.col("files").alias(n))
+    spread = rows.join(wanted, rows["project_id"].eqNullSafe(wanted["p"]) & rows["date"].eqNullSafe(wanted["d"]), "left").drop("p", "d")
+    at = F.pmod(F.xxhash64(*[c(x) for x in key]), F.coalesce(c(n), F.lit(1))) + F.pmod(F.xxhash64("project_id", "date"), F.lit(most))
+    tasks = spread.withColumn(to, (at % most).cast("int")).repartitionById(most, c(to))
+    tasks.drop(n, to).write.partitionBy("project_id", "date").parquet(root)
+
+
 def compact(spark: SparkSession, root: str, small_bytes: int = SMALL_BYTES, target_bytes: int = TARGET_BYTES, sort: list[str] = (), parallel: int = 8) -> list[Rewrite]:
     """Merge the small files of each partition folder of a Parquet table.
 

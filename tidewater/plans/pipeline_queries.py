@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -136,7 +138,28 @@ def p7_plan(spark: SparkSession, d: str) -> DataFrame:
     return small_files.compaction_plan(table(spark, d, "file_actions"))
 
 
+def p7_compacted(spark: SparkSession, d: str) -> DataFrame:
+    """The spans in as many small files as the log has, rewritten by compact(): files and rows per partition before and after.
+
+    Rows before are counted in the source, rows and files after in the rewritten table, files before in its listing.
+    """
+    spans = table(spark, d, "otel_logs_and_spans").withColumn("project_id", tenant(F.col("project_id")))
+    root = work_dir(spark, "small-files")
+    small_files.lay_out(spans, small_files.small_live_files(table(spark, d, "file_actions")), root, ["id", "timestamp"])
+    done = small_files.compact(spark, root, small_bytes=small_files.TARGET_BYTES // 4)
+    keys = [[unquote(x.partition("=")[2]) for x in r.folder.split("/")[-2:]] for r in done]
+    listed = spark.createDataFrame([(p, day, r.files_before) for (p, day), r in zip(keys, done, strict=True)], "project_id string, day string, listed long")
+    before = spans.groupBy("project_id", "date").agg(F.count("*").alias("rows_before"))
+    after = spark.read.schema(spans.schema).parquet(root).groupBy("project_id", "date").agg(
+        F.count("*").alias("rows_after"), F.count_distinct("_metadata.file_path").alias("files_after")
+    )
+    both = before.join(after, ["project_id", "date"], "full").withColumn("day", F.col("date").cast("string"))
+    return both.join(listed, ["project_id", "day"], "left").select(
+        "project_id", "date", F.coalesce("listed", "files_after").alias("files_before"), "files_after", "rows_before", "rows_after"
+    )
+
+
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_incremental, p3_found, p3_hierarchy, p3_descendants, p3_descendants_whole, p4_found, p4_hourly, p4_hourly_whole, p6_found, p6_messages, p7_found, p7_plan)
+    for f in (p1_found, p1_incremental, p3_found, p3_hierarchy, p3_descendants, p3_descendants_whole, p4_found, p4_hourly, p4_hourly_whole, p6_found, p6_messages, p7_found, p7_plan, p7_compacted)
 }
