@@ -1,8 +1,7 @@
-"""Filling fixed-capacity containers with texts: shortest pack first over the histogram of lengths.
+"""Filling fixed-capacity containers with texts: best fit, that is longest pack first, over the histogram of lengths.
 
 Only the histogram reaches the driver: at most CAPACITY counts. Lengths are placed longest first; each goes to
-the open packs with the least room that still takes it in the room's order of shortest remaining space, and
-packs are kept as patterns with counts, never one by one. The patterns are then joined back to the texts by
+the open packs with the least room that still takes it, and packs are kept as patterns with counts, never one by one. The patterns are then joined back to the texts by
 their rank among those of equal length.
 """
 
