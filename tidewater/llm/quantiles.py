@@ -1,59 +1,60 @@
 """Percentiles of very large numeric columns by dyadic Count-sketches.
 
-Values are encoded into CODE_BITS-bit codes that keep their order: small magnitudes exactly, larger ones by
-exponent and MANTISSA bits, so a code stands for values within 2^-MANTISSA of each other. A sketch keeps, for
+Values are encoded into CODE_BITS-bit codes that keep their order: the sign, the exponent and the first MANTISSA bits of
+the double, so a code stands for values within 2^-MANTISSA of each other, fractions included. A sketch keeps, for
 each binary resolution of the codes, the number of values per dyadic interval: exact counts where there are
 few intervals, a signed Count-sketch of DEPTH rows and WIDTH columns where there are many. Sketches are linear:
 they merge by addition, and a deletion is a value of weight -1. A percentile descends the levels, taking the
 left interval's estimate off the rank whenever it turns right.
+
+Rank error. In one row of a level, a node's estimate is off by the nodes that share its column. Set the WIDTH / 32
+heaviest of them aside: three of five rows meet one of these with a probability below 3e-4. The others hold at most
+32 / WIDTH of the count n each, so they add a standard deviation of at most n * sqrt(32) / WIDTH to a row and about half
+of that to the median of five, 0.15 % of n. A descent turns right at most once per sketched level, twelve times: 0.51 %
+in the worst case of any distribution, and RANK_ERROR is twice that. Measured errors are in the README.
 """
 
 from __future__ import annotations
 
-import struct
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.grouped import fold_groups
+from tidewater.llm.grouped import join_states, make_states, schema_of
+from tidewater.session import c
 
-MANTISSA = 9
-CODE_BITS = 16
-DEPTH, WIDTH = 5, 1024
-#: A group of at most so many codes keeps them as they are: smaller than its sketch, and without error.
-SPARSE = 256
+MANTISSA = 12
+CODE_BITS = 12 + MANTISSA
+DEPTH, WIDTH = 5, 2048
 #: Levels below have a Count-sketch each; at this one and above the intervals are counted exactly.
-EXACT_LEVEL = CODE_BITS - 11
-#: Ranks are off by at most this share of the count (see README for measured errors).
+EXACT_LEVEL = MANTISSA
+#: Ranks are off by at most this share of the count: two standard deviations in the worst case, see above.
 RANK_ERROR = 0.01
-_HALF = 1 << (CODE_BITS - 1)
+#: So many distinct codes are shipped as codes with weights, before the counters are filled: a matter of bytes only, as
+#: percentiles are read from the counters' values in either form.
+SHIPPED_CODES = 8_192
+_CODED = np.dtype([("code", "<u4"), ("weight", "<i8")])
+_EXACT = 1 << (CODE_BITS - EXACT_LEVEL)
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
 
-def encode(value: Column) -> Column:
-    """The code of a number as a 64-bit integer; null for null, NaN, infinities and what a long cannot hold.
-
-    Fractions are cut off; scale values first where fractions matter. Runs in the JVM.
-    """
-    v = value.try_cast("long")
-    m = F.when(v < 0, F.bitwise_not(v)).otherwise(v)
-    bits = F.length(F.bin(m))
-    shift = F.greatest(bits - F.lit(MANTISSA + 1), F.lit(0))
-    mag = (shift * F.lit(1 << MANTISSA)).cast("long") + F.call_function("shiftright", m, shift)
-    return F.when(v < 0, F.lit(_HALF - 1) - mag).otherwise(F.lit(_HALF) + mag).cast("int")
+def encode(values: np.ndarray) -> np.ndarray:
+    """Codes of finite doubles, in their order; -0.0 counts as 0.0."""
+    bits = (np.asarray(values, dtype=np.float64) + 0.0).view(np.int64)
+    ordered = bits ^ ((bits >> 63) & 0x7FFFFFFFFFFFFFFF)
+    return (ordered >> (64 - CODE_BITS)) + (1 << (CODE_BITS - 1))
 
 
-def decode(code: np.ndarray) -> np.ndarray:
-    """The middle of the values a code stands for."""
-    code = np.asarray(code, dtype=np.int64)
-    mag = np.where(code >= _HALF, code - _HALF, _HALF - 1 - code)
-    shift = np.maximum((mag >> MANTISSA) - 1, 0)
-    low = (mag - (shift << MANTISSA)).astype(np.float64) * np.exp2(shift)
-    middle = low + (np.exp2(shift) - 1) / 2
-    return np.where(code >= _HALF, middle, -middle - 1)
+def decode(codes: np.ndarray) -> np.ndarray:
+    """The middle of the values a code stands for; 0 for the code that holds 0."""
+    ordered = (np.asarray(codes, dtype=np.int64) - (1 << (CODE_BITS - 1))) << (64 - CODE_BITS)
+    back = lambda x: (x ^ ((x >> 63) & 0x7FFFFFFFFFFFFFFF)).view(np.float64)
+    low, high = back(ordered), back(ordered + ((1 << (64 - CODE_BITS)) - 1))
+    return np.where((low == 0) | (high == 0), 0.0, np.where(np.isfinite(low) & np.isfinite(high), low / 2 + high / 2, low))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -64,27 +65,27 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def _places(level: int, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Column and sign of each node in each row of a level's sketch."""
-    h = _mix((nodes.astype(np.uint64)[None, :] + np.uint64(1 + level * (1 << 20))) * _ODD[:, None])
+    h = _mix((nodes.astype(np.uint64)[None, :] + np.uint64(1 + (level << 32))) * _ODD[:, None])
     return (h & np.uint64(WIDTH - 1)).astype(np.int64), np.where((h >> np.uint64(40)) & np.uint64(1), 1, -1)
 
 
-class DyadicSketch:
-    def __init__(self) -> None:
-        self.n = 0
-        self.codes, self.weights = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
-        self.exact = self.counts = None
+def _net(codes: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes, rising, with the sums of their weights; codes whose weights cancel out are gone."""
+    distinct, where = np.unique(codes, return_inverse=True)
+    sums = np.zeros(len(distinct), dtype=np.int64)
+    np.add.at(sums, where, weights)
+    return distinct[sums != 0], sums[sums != 0]
+
 
-    def add(self, codes: np.ndarray, weights: np.ndarray) -> DyadicSketch:
+class Counters:
+    """The counters of one sketch: exact counts per coarse interval and DEPTH x WIDTH signed ones per finer level."""
+
+    def __init__(self, flat: np.ndarray | None = None) -> None:
+        self.flat = np.zeros(_EXACT + EXACT_LEVEL * DEPTH * WIDTH, dtype=np.int64) if flat is None else flat
+        self.exact, self.counts = self.flat[:_EXACT], self.flat[_EXACT:].reshape((EXACT_LEVEL, DEPTH, WIDTH))
+
+    def add(self, codes: np.ndarray, weights: np.ndarray) -> Counters:
         codes, weights = np.asarray(codes, dtype=np.int64), np.asarray(weights, dtype=np.int64)
-        self.n += int(weights.sum())
-        if self.counts is None:
-            self.codes, where = np.unique(np.concatenate((self.codes, codes)), return_inverse=True)
-            self.weights = np.bincount(where, np.concatenate((self.weights, weights)), len(self.codes)).astype(np.int64)
-            if len(self.codes) <= SPARSE:
-                return self
-            codes, weights, self.codes, self.weights = self.codes, self.weights, None, None
-            self.exact = np.zeros(1 << (CODE_BITS - EXACT_LEVEL), dtype=np.int64)
-            self.counts = np.zeros((EXACT_LEVEL, DEPTH, WIDTH), dtype=np.int64)
         np.add.at(self.exact, codes >> EXACT_LEVEL, weights)
         for level in range(EXACT_LEVEL):
             column, sign = _places(level, codes >> level)
@@ -92,105 +93,158 @@ class DyadicSketch:
                 np.add.at(self.counts[level, row], column[row], sign[row] * weights)
         return self
 
-    def merge(self, other: DyadicSketch) -> DyadicSketch:
-        if other.counts is None:
-            return self.add(other.codes, other.weights)
-        if self.counts is None:
-            return other.copy().add(self.codes, self.weights)
-        self.n += other.n
-        self.exact += other.exact
-        self.counts += other.counts
-        return self
-
-    def copy(self) -> DyadicSketch:
-        return DyadicSketch.from_bytes(self.to_bytes())
-
     def to_bytes(self) -> bytes:
-        dense = self.counts is not None
-        flat = np.concatenate((self.exact, self.counts.ravel()) if dense else (self.codes, self.weights))
-        return struct.pack("<q?", self.n, dense) + zlib.compress(flat.astype("<i8").tobytes(), 1)
-
-    @classmethod
-    def from_bytes(cls, data: bytes) -> DyadicSketch:
-        self = cls()
-        self.n, dense = struct.unpack("<q?", data[:9])
-        flat = np.frombuffer(zlib.decompress(data[9:]), dtype="<i8")
-        if dense:
-            cut = 1 << (CODE_BITS - EXACT_LEVEL)
-            self.codes = self.weights = None
-            self.exact, self.counts = flat[:cut].copy(), flat[cut:].reshape((EXACT_LEVEL, DEPTH, WIDTH)).copy()
-        else:
-            self.codes, self.weights = np.split(flat.copy(), 2)
-        return self
+        return b"d" + zlib.compress(self.flat.astype("<i8").tobytes(), 1)
 
-    def _estimate(self, level: int, node: int) -> float:
-        column, sign = _places(level, np.array([node]))
-        rows = np.arange(DEPTH)
-        return float(np.median(self.counts[level, rows, column[:, 0]] * sign[:, 0]))
-
-    def quantile(self, q: float) -> float | None:
-        """The value of rank ceil(q * n), at least the first; None of an empty sketch."""
-        if self.n <= 0:
-            return None
-        rank = max(1, int(np.ceil(q * self.n)))
-        if self.counts is None:
-            return float(decode(self.codes[np.searchsorted(np.cumsum(self.weights), rank)]))
+    def quantiles(self, shares: list[float]) -> list[float | None]:
+        """The values of rank ceil(share * n), at least the first; None of an empty sketch."""
         sums = np.cumsum(self.exact)
-        node = min(int(np.searchsorted(sums, rank)), len(sums) - 1)
-        rest = rank - (int(sums[node - 1]) if node else 0)
-        total = float(self.exact[node])
+        n = int(sums[-1])
+        if n <= 0:
+            return [None] * len(shares)
+        rank = np.array([max(1, int(np.ceil(q * n))) for q in shares], dtype=np.float64)
+        node = np.minimum(np.searchsorted(sums, rank), len(sums) - 1).astype(np.int64)
+        total = self.exact[node].astype(np.float64)
+        rest = rank - (sums[node] - total)
+        rows = np.arange(DEPTH)[:, None]
         for level in range(EXACT_LEVEL - 1, -1, -1):
-            left = min(max(self._estimate(level, 2 * node), 0.0), total)
-            if rest <= left:
-                node, total = 2 * node, left
-            else:
-                node, rest, total = 2 * node + 1, rest - left, total - left
-        return float(decode(np.array([node]))[0])
-
-
-def _build(state: DyadicSketch | None, chunk: pd.DataFrame) -> DyadicSketch:
-    return (state or DyadicSketch()).add(chunk["code"].to_numpy(), chunk["weight"].to_numpy())
-
-
-def _add(state: DyadicSketch | None, chunk: pd.DataFrame) -> DyadicSketch:
-    for data in chunk["sketch"]:
-        got = DyadicSketch.from_bytes(data)
-        state = got if state is None else state.merge(got)
-    return state
-
-
-def sketches(df: DataFrame, keys: dict[str, str], value: Column, weight: Column | None = None) -> DataFrame:
+            column, sign = _places(level, 2 * node)
+            left = np.clip(np.median(self.counts[level, rows, column] * sign, axis=0), 0.0, total)
+            node, rest, total = _turn(node, rest, total, left)
+        return [float(x) for x in decode(node)]
+
+
+def _turn(node: np.ndarray, rest: np.ndarray, total: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    right = rest > left
+    return 2 * node + right, np.where(right, rest - left, rest), np.where(right, total - left, left)
+
+
+def coded(codes: np.ndarray, weights: np.ndarray) -> bytes:
+    """The state of netted codes."""
+    if len(codes) > SHIPPED_CODES:
+        return Counters().add(codes, weights).to_bytes()
+    out = np.empty(len(codes), dtype=_CODED)
+    out["code"], out["weight"] = codes, weights
+    return b"c" + out.tobytes()
+
+
+def _codes_of(state: bytes) -> tuple[np.ndarray, np.ndarray]:
+    got = np.frombuffer(state, dtype=_CODED, offset=1)
+    return got["code"].astype(np.int64), got["weight"]
+
+
+def add_states(states: list[bytes]) -> bytes:
+    """The state of all values of several."""
+    if len(states) == 1:
+        return states[0]
+    got = np.frombuffer(b"".join(x[1:] for x in states if x[:1] == b"c"), dtype=_CODED)
+    codes, weights = _net(got["code"].astype(np.int64), got["weight"])
+    dense = [x for x in states if x[:1] == b"d"]
+    if not dense:
+        return coded(codes, weights)
+    flat = sum(np.frombuffer(zlib.decompress(x[1:]), dtype="<i8") for x in dense)
+    return Counters(flat.copy()).add(codes, weights).to_bytes()
+
+
+def quantiles_of(states: list[bytes], shares: list[float]) -> tuple[list[int], list[list[float | None]]]:
+    """Count and values of each state. Codes that were not put into counters yet give what the counters would."""
+    n, values = [0] * len(states), [[None] * len(shares) for _ in states]
+    small = [i for i, x in enumerate(states) if x[:1] == b"c"]
+    for i in (i for i, x in enumerate(states) if x[:1] == b"d"):
+        made = Counters(np.frombuffer(zlib.decompress(states[i][1:]), dtype="<i8"))
+        n[i], values[i] = int(made.exact.sum()), made.quantiles(shares)
+    if not small:
+        return n, values
+    sizes = np.array([(len(states[i]) - 1) // _CODED.itemsize for i in small])
+    got = np.frombuffer(b"".join(states[i][1:] for i in small), dtype=_CODED)
+    codes, weights = got["code"].astype(np.int64), got["weight"].astype(np.int64)
+    owner = np.repeat(np.arange(len(small)), sizes)
+    counts = np.bincount(owner, weights, len(small)).astype(np.int64)
+    for i, k in zip(small, counts):
+        n[i] = int(k)
+    alive = np.flatnonzero(counts > 0)
+    if not len(alive):
+        return n, values
+    # exact levels: running sums per coarse interval of each group
+    place = owner * _EXACT + (codes >> EXACT_LEVEL)
+    cuts = np.flatnonzero(np.diff(place, prepend=-1))
+    interval, held = place[cuts], np.add.reduceat(weights, cuts)
+    running = np.cumsum(held)
+    before = np.concatenate(([0], np.cumsum(counts)))[:-1]
+    found = []
+    for q in shares:
+        rank = np.maximum(1, np.ceil(q * counts[alive]))
+        # a group's intervals are a stretch of rising sums
+        at = np.searchsorted(running, rank + before[alive])
+        found.append((interval[at] % _EXACT, rank + before[alive] - (running[at] - held[at]), held[at].astype(np.float64)))
+    node, rest, total = (np.stack([f[k] for f in found]) for k in range(3))
+    back = np.full(len(small), -1, dtype=np.int64)
+    back[alive] = np.arange(len(alive))
+    mine = back[owner]
+    keep = mine >= 0
+    codes, weights, mine = codes[keep], weights[keep], mine[keep]
+    for level in range(EXACT_LEVEL - 1, -1, -1):
+        column, sign = _places(level, codes >> level)
+        signed = sign * weights
+        left = np.empty(node.shape)
+        for j in range(len(shares)):
+            at, way = _places(level, 2 * node[j])
+            rows = np.stack([np.bincount(mine, signed[r] * (column[r] == at[r][mine]), len(alive)) * way[r] for r in range(DEPTH)])
+            left[j] = np.clip(np.median(rows, axis=0), 0.0, total[j])
+        node, rest, total = _turn(node, rest, total, left)
+    decoded = decode(node)
+    for k, i in enumerate(alive):
+        values[small[i]] = [float(x) for x in decoded[:, k]]
+    return n, values
+
+
+def _build(group: np.ndarray, value: np.ndarray, weight: np.ndarray) -> list[bytes]:
+    codes = encode(value)
+    order = np.lexsort((codes, group))
+    group, codes, weight = group[order], codes[order], weight[order].astype(np.int64)
+    new = np.ones(len(group), dtype=bool)
+    new[1:] = (group[1:] != group[:-1]) | (codes[1:] != codes[:-1])
+    cuts = np.flatnonzero(new)
+    sums = np.add.reduceat(weight, cuts)
+    owner, codes = group[cuts], codes[cuts]
+    ends = np.searchsorted(owner, np.arange(int(group[-1]) + 2))
+    out = np.empty(len(codes), dtype=_CODED)
+    out["code"], out["weight"] = codes, sums
+    kept = sums != 0
+    if kept.all():
+        return [b"c" + out[a:b].tobytes() if b - a <= SHIPPED_CODES else coded(codes[a:b], sums[a:b]) for a, b in zip(ends, ends[1:])]
+    return [coded(codes[a:b][kept[a:b]], sums[a:b][kept[a:b]]) for a, b in zip(ends, ends[1:])]
+
+
+def sketches(df: DataFrame, keys: dict[str, str], value: Column, weight: Column | None = None, fan: int = 16) -> DataFrame:
     """(keys..., sketch binary) per group; keys: output name -> type, columns of df; null values are ignored.
 
-    Equal codes of a group are added up before anything shuffles, so a group has at most 2^CODE_BITS rows
-    however many values it holds, and hot groups need no special care. NaN and infinities are ignored like nulls. A null weight counts as 0; a null key
-    is a group of its own.
+    Values of a group are summed up in the task that reads them, so a group sends one state per task however many
+    values it holds, and hot groups need no special care. NaN and infinities are ignored like nulls. A null weight
+    counts as 0; a null key is a group of its own. Integers beyond 2^53 are those of the nearest double.
     """
     w = F.lit(1).cast("long") if weight is None else F.coalesce(weight.cast("long"), F.lit(0))
-    coded = df.select(*keys, encode(value).alias("code"), w.alias("weight")).where("code is not null")
-    counted = coded.groupBy(*keys, "code").agg(F.sum("weight").alias("weight"))
-    schema = ", ".join([*(f"{k} {t}" for k, t in keys.items()), "sketch binary"])
-    return fold_groups(counted, list(keys), _build, lambda k, s: (*k, s.to_bytes()), schema)
+    v = value.cast("double")
+    rows = df.select(*[c(k) for k in keys], v.alias("__value"), w.alias("__weight"))
+    x = F.col("__value")
+    rows = rows.where(x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))))
+    return join_states(make_states(rows, keys, ["__value", "__weight"], _build), keys, add_states, fan)
 
 
 def merge(df: DataFrame, keys: dict[str, str], fan: int = 16) -> DataFrame:
     """Sketches of a coarser grouping, by addition; a hot group is added up in `fan` parts first."""
-    schema = ", ".join([*(f"{k} {t}" for k, t in keys.items()), "sketch binary"])
-    parts = df.select(*keys, "sketch", F.pmod(F.xxhash64("sketch"), F.lit(fan)).cast("int").alias("part"))
-    once = fold_groups(parts, [*keys, "part"], _add, lambda k, s: (*k, s.to_bytes()), schema.replace("sketch binary", "part int, sketch binary"))
-    return fold_groups(once, list(keys), _add, lambda k, s: (*k, s.to_bytes()), schema)
+    parts = df.select(*[c(k) for k in keys], F.pmod(F.xxhash64("sketch"), F.lit(1 << 20)).cast("int").alias("part"), "sketch")
+    return join_states(parts, keys, add_states, fan)
 
 
 def percentiles(df: DataFrame, keys: dict[str, str], points: dict[str, float]) -> DataFrame:
     """(keys..., n, one double per point) from sketches; points: column name -> share."""
-    schema = ", ".join([*(f"{k} {t}" for k, t in keys.items()), "n long", *(f"{p} double" for p in points)])
+    names = list(keys)
 
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [DyadicSketch.from_bytes(x) for x in b["sketch"]]
-            out = b[list(keys)].assign(n=[s.n for s in got])
-            for name, q in points.items():
-                out[name] = [s.quantile(q) for s in got]
-            yield out
+            n, values = quantiles_of(b.column("sketch").to_pylist(), list(points.values()))
+            columns = [pa.array([v[j] for v in values], pa.float64()) for j in range(len(points))]
+            yield pa.RecordBatch.from_arrays([*b.select(names).columns, pa.array(n, pa.int64()), *columns], [*names, "n", *points])
 
-    return df.select(*keys, "sketch").mapInPandas(run, schema)
+    return df.select(*[c(k) for k in keys], "sketch").mapInArrow(run, schema_of(keys, "n long", *(f"{p} double" for p in points)))
