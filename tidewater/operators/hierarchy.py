@@ -1,8 +1,9 @@
 """Parent-child links of unknown depth become full hierarchies: path, depth, root, descendants, circles.
 
 Level-wise frontier joins from the roots. The levels of ordinary trees run inside the partition that
-holds them (one shuffle, then vectorised joins of the frontier with the child lists); trees above
-`tree_limit` rows, which no task should hold, take the same levels as distributed joins.
+holds them (one shuffle, then vectorised joins of the frontier with the child lists). Trees above
+`tree_limit` rows, which no task should hold, are joined across the cluster, with reach doubling from join to join, so that
+a depth of d takes about log2(d) of them and not d. Both give the same rows.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from tidewater.session import materialize
 TREE_LIMIT = 500_000
 #: Rows that one bucket of whole trees holds on average.
 BUCKET_ROWS = 100_000
-#: Levels of the distributed joins between two checkpoints.
-LEVELS_PER_CHECKPOINT = 8
+#: Path elements that are built at once.
+PATH_ELEMENTS = 1_000_000
 
 RESULT = "tree string, node string, parent string, root string, depth int, cycle string"
 
@@ -87,7 +88,30 @@ def on_circle(parent: np.ndarray, unreached: np.ndarray) -> np.ndarray:
     return alive
 
 
-def _local(batch: pa.Table, with_path: bool) -> pa.Table:
+def _paths(names: pa.Array, up: np.ndarray, depth: np.ndarray) -> Iterator[tuple[np.ndarray, pa.Array]]:
+    """(nodes, their paths) in pieces of about PATH_ELEMENTS, or of one path; nodes without a root have no path."""
+    order = np.argsort(depth, kind="stable")
+    lost = order[: int((depth < 0).sum())]
+    if len(lost):
+        yield lost, pa.nulls(len(lost), pa.list_(pa.string()))
+    order = order[len(lost) :]
+    ends = np.cumsum(depth[order].astype(np.int64) + 1)
+    begin = 0
+    while begin < len(order):
+        done = int(ends[begin - 1]) if begin else 0
+        end = max(begin + 1, int(np.searchsorted(ends, done + PATH_ELEMENTS, "right")))
+        nodes = order[begin:end]
+        offsets = np.concatenate(([0], ends[begin:end] - done))
+        out, now, at = np.empty(int(offsets[-1]), dtype=np.int64), nodes, offsets[1:] - 1
+        while len(now):
+            out[at] = now
+            more = depth[now] > 0
+            now, at = up[now[more]], at[more] - 1
+        yield nodes, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), names.take(pa.array(out)))
+        begin = end
+
+
+def _local(batch: pa.Table, with_path: bool) -> Iterator[pa.Table]:
     tree, node, parent = (batch.column(k).combine_chunks() for k in ("tree", "node", "parent"))
     n = len(tree)
     codes = pa.concat_arrays([tree.cast(pa.string())]).dictionary_encode().indices.to_numpy(zero_copy_only=False)
@@ -117,7 +141,7 @@ def _local(batch: pa.Table, with_path: bool) -> pa.Table:
     at = np.full(int(ids.max(initial=-1)) + 1, -1, dtype=np.int64)
     at[ids[:m]] = np.arange(m)
     up = np.where(parents >= 0, at[ids[m:]], -1)
-    depth, root, levels = walk_levels(up)
+    depth, root, _ = walk_levels(up)
     lost = np.flatnonzero(depth < 0)
     mark = np.full(m, None, dtype=object)
     if len(lost):
@@ -130,50 +154,44 @@ def _local(batch: pa.Table, with_path: bool) -> pa.Table:
         "tree": out_tree, "node": out_node, "parent": out_parent,
         "root": pa.array(roots, pa.string()), "depth": pa.array(depth, pa.int32()), "cycle": pa.array(mark, pa.string()),
     }
-    if with_path:
-        path = np.empty(m, dtype=object)
-        for k, level in enumerate(levels):
-            for i in level:
-                path[i] = [names[i]] if k == 0 else [*path[up[i]], names[i]]
-        out["path"] = pa.array(list(path), pa.list_(pa.string()))
-    return pa.table(out)
+    whole = pa.table(out)
+    if not with_path:
+        yield whole
+        return
+    text = out_node.cast(pa.string())
+    for nodes, paths in _paths(text.combine_chunks() if isinstance(text, pa.ChunkedArray) else text, up, depth):
+        yield whole.take(pa.array(nodes)).append_column("path", paths)
 
 
 def _distributed(links: DataFrame, with_path: bool) -> DataFrame:
-    """The same levels as joins across the cluster, for trees too large for a task."""
-    spark = links.sparkSession
+    """The same rows by joins across the cluster, for trees too large for a task.
+
+    Every node knows an ancestor (`to`) and the way to it; joining that with what the ancestor knows doubles the reach.
+    A node is done once its ancestor is a root. Depths along a path have no gaps, so a join that completes no further
+    node means that the rest never will: these nodes are on or below circles. Joins are on (tree, node), unique on one side.
+    """
     nodes = materialize(links.groupBy("tree", "node").agg(F.min("parent").alias("parent")))
-    ids = nodes.select("tree", F.col("node").alias("parent"))
-    start = nodes.join(ids, ["tree", "parent"], "left_anti").select(
-        "tree", "node", "parent", F.col("node").alias("root"), F.lit(0).alias("depth"), F.array("node").alias("path")
-    )
-    frontier, done, level = materialize(start), [], 0
-    done.append(frontier)
-    while True:
-        steps, last = [], frontier
-        for _ in range(LEVELS_PER_CHECKPOINT):
-            level += 1
-            up = last.select("tree", F.col("node").alias("parent"), "root", F.col("path").alias("up"))
-            last = nodes.join(up, ["tree", "parent"]).select(
-                "tree", "node", "parent", "root", F.lit(level).alias("depth"),
-                (F.concat("up", F.array("node")) if with_path else F.col("up")).alias("path"),
-            )
-            steps.append(last)
-        batch = steps[0]
-        for x in steps[1:]:
-            batch = batch.unionByName(x)
-        batch = materialize(batch)
-        if batch.isEmpty():
+    ids = nodes.select("tree", F.col("node").alias("parent"), F.lit(True).alias("has"))
+    linked = nodes.join(ids, ["tree", "parent"], "left")
+    top = F.col("has").isNull()
+    way = F.when(top, F.array().cast("array<string>")).otherwise(F.array("node")) if with_path else F.lit(None).cast("array<string>")
+    state = materialize(linked.select("tree", "node", "parent", F.when(top, F.col("node")).otherwise(F.col("parent")).alias("to"), F.when(top, 0).otherwise(1).alias("depth"), way.alias("way"), top.alias("done")))
+    total, before = state.agg(F.count("*"), F.count_if("done")).first()
+    while before < total:
+        far = state.select("tree", F.col("node").alias("to"), F.col("to").alias("far"), F.col("depth").alias("more"), F.col("way").alias("ahead"), F.col("done").alias("there"))
+        moved = state.where("not done").join(far, ["tree", "to"]).select(
+            "tree", "node", "parent", F.col("far").alias("to"), (F.col("depth") + F.col("more")).alias("depth"), F.concat("ahead", "way").alias("way"), F.col("there").alias("done")
+        )
+        state = materialize(state.where("done").unionByName(moved))
+        now = state.where("done").count()
+        if now == before:
             break
-        done.append(batch)
-        frontier = batch.where(F.col("depth") == level)
-    reached = done[0]
-    for x in done[1:]:
-        reached = reached.unionByName(x)
-    lost = materialize(nodes.join(reached.select("tree", "node"), ["tree", "node"], "left_anti"))
-    result = reached.select("tree", "node", "parent", "root", "depth", F.lit(None).cast("string").alias("cycle"), "path")
+        before = now
+    path = F.concat(F.array("to"), F.col("way")) if with_path else F.lit(None).cast("array<string>")
+    result = state.where("done").select("tree", "node", "parent", F.col("to").alias("root"), "depth", F.lit(None).cast("string").alias("cycle"), path.alias("path"))
+    lost = materialize(state.where("not done").select("tree", "node", "parent"))
     if not lost.isEmpty():
-        # Jumping 2^k parents up maps the lost nodes onto the circles once 2^k passes every tail.
+        # Jumping 2^k parents up maps the lost nodes onto the circles once 2^k passes every tail; then the image stays as large.
         jump, before = lost.select("tree", "node", F.col("parent").alias("to")), -1
         while True:
             hit = jump.select("tree", F.col("to").alias("node")).distinct()
@@ -218,7 +236,8 @@ def hierarchies(links: DataFrame, with_path: bool = False, tree_limit: int = TRE
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = list(batches)
         if held and sum(len(b) for b in held):
-            yield from _local(pa.Table.from_batches(held), with_path).to_batches(max_chunksize=20_000)
+            for part in _local(pa.Table.from_batches(held), with_path):
+                yield from part.to_batches(max_chunksize=20_000)
 
     out = small.repartition(buckets, "tree").mapInArrow(run, schema)
     return out.unionByName(_distributed(rows.join(large, "tree", "left_semi"), with_path)) if n_large else out

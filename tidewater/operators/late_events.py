@@ -56,35 +56,34 @@ def observed_punctuations(events: DataFrame, rule: Lateness) -> DataFrame:
 
     A source passes a bound with the first arrival of an event at or after bound + delay. Arrivals are reduced
     to the first one per source and period before any ordering, so the running minimum over a source's later
-    periods sees one row per period however many events the source sent. With `idle`, a source passes every
-    later bound once it has been silent for so long after its last arrival.
+    periods sees one row per period however many events the source sent.
     """
     known = events.where(F.col("event_us").isNotNull() & F.col("arrival_us").isNotNull())
-    first = known.groupBy("source", rule.start(F.col("event_us") - F.lit(_us(rule.delay))).alias("bound")).agg(
-        F.min("arrival_us").alias("arrival"), F.max("arrival_us").alias("last")
-    )
+    first = known.groupBy("source", rule.start(F.col("event_us") - F.lit(_us(rule.delay))).alias("bound")).agg(F.min("arrival_us").alias("arrival"))
     later = W.partitionBy("source").orderBy(F.col("bound").desc()).rowsBetween(W.unboundedPreceding, 0)
-    passed = first.select("source", "bound", F.min("arrival").over(later).alias("passed_at"))
-    if rule.idle is None:
-        return passed
-    ends = known.select(rule.end(F.col("event_us")).alias("bound")).distinct()
-    silent = known.groupBy("source").agg((F.max("arrival_us") + F.lit(_us(rule.idle))).alias("silent"), F.max("event_us").alias("top"))
-    # the few periods against the few sources: only bounds above a source's last one get the timeout
-    after = silent.join(ends, F.col("bound") > rule.start(F.col("top") - F.lit(_us(rule.delay)))).select("source", "bound", F.col("silent").alias("passed_at"))
-    return passed.unionByName(after)
+    return first.select("source", "bound", F.min("arrival").over(later).alias("passed_at"))
+
+
+def idle_times(events: DataFrame, rule: Lateness) -> DataFrame:
+    """(source, silent_at): when each source has been silent for the idle timeout after its last arrival."""
+    return events.where(F.col("arrival_us").isNotNull()).groupBy("source").agg((F.max("arrival_us") + F.lit(_us(rule.idle))).alias("silent_at"))
 
 
 def closing_times(events: DataFrame, punctuations: DataFrame, rule: Lateness) -> DataFrame:
     """(bound, closed_at): when the last source that had events in a period passed its end.
 
-    A bound is passed by the source's first punctuation at or above it. Periods some source never passes stay
-    open and have no row. The low watermark over sources is the greatest passing time of a bound.
+    A bound is passed by the source's first punctuation at or above it; with `idle`, a source that never passes it does so
+    once it has been silent for so long. Periods some source never passes stay
+    open and have no row. The low watermark over sources is the greatest passing time of a bound. Only sources and the periods
+    they had events in meet, never all sources and all periods.
     """
     periods = events.where(F.col("event_us").isNotNull()).select("source", rule.end(F.col("event_us")).alias("bound")).distinct()
     marks = punctuations.groupBy("source", "bound").agg(F.min("passed_at").alias("passed_at")).withColumn("needs", F.lit(False))
     asked = periods.select("source", "bound", F.lit(None).cast("long").alias("passed_at"), F.lit(True).alias("needs"))
     later = W.partitionBy("source").orderBy(F.col("bound").desc(), F.col("needs")).rowsBetween(W.unboundedPreceding, 0)
     both = marks.unionByName(asked).withColumn("at", F.min("passed_at").over(later)).where("needs")
+    if rule.idle is not None:
+        both = both.join(idle_times(events, rule), "source", "left").withColumn("at", F.coalesce("at", "silent_at"))
     closed = both.groupBy("bound").agg(F.max("at").alias("closed_at"), F.count_if(F.col("at").isNull()).alias("open"))
     return closed.where("open = 0").select("bound", "closed_at")
 
