@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewater.engine import Engine
+from tidewater.operators import mor, small_files
 from tidewater.operators.mor import Clock, DmlError, VersionedTable, admitted, flush_dedup
 from tidewater.schema import Field, TableSchema, change_feed_schema
 
@@ -84,12 +85,57 @@ def test_dedup_rewrite_in_place(spark, table):
 
 
 def test_certified_partitions_are_not_ranked_again(spark, table):
-    put(spark, table, ("a", "x", "p"), ("b", "y", "q"))
-    put(spark, table, ("a", "x2", "p"))
-    clean = spark.createDataFrame([("q", date(2023, 1, 5))], "project_id string, date date")
-    got = table.read(clean)
-    assert sorted((r.project_id, r.id, r.name) for r in got.collect()) == names(table)
-    assert got.columns == table.read().columns
+    put(spark, table, ("a", "x", "p"), ("b", "y", "q"), ("c", "z", "q"))
+    put(spark, table, ("b", "y2", "q"))
+    table.delete("q", F.col("id") == "c")
+    want = names(table)
+    assert table.logical_count() == 2 and table.dedup_rewrite() == 2
+    state = table.store.state()
+    assert state.clean == {f: n for f, n in state.clean.items() if f.startswith("project_id=q")} and list(state.clean.values()) == [1]
+    assert names(table) == want and table.logical_count() == 2
+    plan = table.read().where("project_id = 'q'")._jdf.queryExecution().executedPlan().toString()
+    assert "Union" in plan
+    again = VersionedTable(spark, table.path, table.schema, table.clock)  # the certificate is in the log
+    assert again.store.state().clean == state.clean and names(again) == want
+    small_files.compact(table.store, small_bytes=1 << 20)
+    assert table.store.state().clean == state.clean
+    put(spark, table, ("b", "y3", "q"))
+    assert table.store.state().clean == {} and ("q", "b", "y3") in names(table) and table.logical_count() == 2
+
+
+def test_update_from_with_words_and_ranges_in_its_condition(spark, tmp_path):
+    e = Engine(spark, clock=Clock())
+    e.create("feed", str(tmp_path / "f"), change_feed_schema())
+    e.execute("INSERT INTO feed (project_id, timestamp, id, name) VALUES ('p', TIMESTAMP '2024-01-15T14:30:45Z', 'a', 'x and y'), ('p', TIMESTAMP '2024-01-15T14:30:45Z', 'b', 'or t.x'), ('p', TIMESTAMP '2024-01-15T14:30:45Z', 'c', 'plain')")
+    now = lambda: {r.id: r.name for r in e.sql("SELECT id, name FROM feed").collect()}
+    source = "FROM (VALUES ('a', 'it''s and t.id', 1), ('b', 'B', 5), ('c', 'C', 9)) AS src(k, v, n)"
+    assert e.execute(f"UPDATE feed AS m SET name = src.v {source} WHERE m.id = src.k AND m.name = 'x and y' AND project_id = 'p'") == 1
+    assert now() == {"a": "it's and t.id", "b": "or t.x", "c": "plain"}
+    assert e.execute(f"UPDATE feed SET name = feed.name || '/' || v {source} WHERE k = id AND n BETWEEN 2 AND 9 AND (v = 'B' OR v = 'C') AND project_id = 'p' AND timestamp >= '2024-01-01'") == 2
+    assert now() == {"a": "it's and t.id", "b": "or t.x/B", "c": "plain/C"}
+    repeated = "FROM (VALUES ('c', '1'), ('c', '2'), ('c', '3')) AS s(k, v)"
+    assert e.execute(f"UPDATE feed SET name = concat(name, s.v) {repeated} WHERE feed.id = s.k AND feed.name <> 'plain/C12' AND project_id = 'p'") == 2
+    assert now()["c"] == "plain/C12"
+    assert e.execute(f"UPDATE feed SET name = s.v {repeated} WHERE feed.id = s.k AND project_id = $1", "p") == 3 and now()["c"] == "3"
+    assert e.execute("UPDATE feed SET name = $1 WHERE id = $2 AND project_id = $3", "$2 :p1 'q'", "c", "p") == 1 and now()["c"] == "$2 :p1 'q'"
+    assert e.execute("DELETE FROM feed WHERE project_id = 'p' AND timestamp < $1 AND id = 'c'", datetime(2024, 2, 1)) == 1 and "c" not in now()
+    with pytest.raises(DmlError):
+        e.execute(f"UPDATE feed SET name = v {source} WHERE feed.id > src.k AND project_id = 'p'")
+    e.execute("BEGIN")
+    e.execute("DELETE FROM feed WHERE project_id = 'p' AND id = 'b'")
+    with pytest.raises(DmlError):
+        e.execute("ROLLBACK")
+    e.execute("COMMIT")
+    assert e.execute("ROLLBACK") == 0
+    assert [r.operation for r in e.execute("DESCRIBE HISTORY feed").orderBy("version").collect()][:2] == ["insert", "update"]
+
+
+def test_keys_with_more_rows_than_one_fold(spark, table, monkeypatch):
+    monkeypatch.setattr(mor, "FOLD_ROWS", 3)
+    put(spark, table, ("a", "", "p"), ("b", "", "p"))
+    source = spark.createDataFrame([("a", str(i), i) for i in range(8)] + [("b", "x", 0)], "key string, v string, seq int")
+    assert table.update_from("p", source, {"id": "key"}, {"name": "concat(t.name, s.v)"}, order="seq") == 9
+    assert names(table) == [("p", "a", "01234567"), ("p", "b", "x")]
 
 
 def test_routed_table(spark, tmp_path):

@@ -76,10 +76,10 @@ def test_store_batch_by_batch(spark, tmp_path):
         rows += batch
         store.apply(spark.createDataFrame(batch, SCHEMA))
         same(as_dict(store.read()), brute(rows))
-    assert store.index.read().count() == store.read().count()
+    assert store.index().count() == store.read().count()
     store.apply(df)
     same(as_dict(store.read()), brute(rows))
-    store.data.vacuum()
+    store.store.vacuum()
     same(as_dict(store.read()), brute(rows))
 
 
@@ -87,21 +87,45 @@ def test_only_affected_partitions_are_overwritten(spark, tmp_path):
     store = MessageStore(spark, str(tmp_path), spark.createDataFrame([], SCHEMA).schema)
     row = lambda k, day, p: (f"{U}{k}", T + timedelta(days=day), p, T, "x", 0)
     store.apply(spark.createDataFrame([row(1, 0, "p"), row(2, 1, "p"), row(3, 1, "q")], SCHEMA))
-    before = store.data.manifest()
+    before = store.store.manifest()
     store.apply(spark.createDataFrame([row(1, 0, "other")], SCHEMA))
-    after = store.data.manifest()
+    after = store.store.manifest()
     kept = {k for k in before if after.get(k) == before[k]}
     assert {k for k in before if k not in kept} == {k for k in before if k.startswith("msg_date=2023-01-02")}
     assert store.read().where("deliveries = 2").count() == 1 and store.read().count() == 3
 
 
-def test_a_commit_happens_once(spark, tmp_path):
+def test_messages_and_index_are_one_commit(spark, tmp_path, monkeypatch):
+    store = MessageStore(spark, str(tmp_path), spark.createDataFrame([], SCHEMA).schema)
+    store.apply(spark.createDataFrame(make(1, 20), SCHEMA))
+    before, version = as_dict(store.read()), store.store.version()
+    monkeypatch.setattr(store.store, "commit", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError, match="lost"):
+        store.apply(spark.createDataFrame(make(2, 20), SCHEMA))
+    monkeypatch.undo()
+    assert as_dict(store.read()) == before and store.store.version() == version and store.index().count() == len(before)
+    store.apply(spark.createDataFrame(make(2, 20), SCHEMA))
+    same(as_dict(store.read()), brute(make(1, 20) + make(2, 20)))
+
+
+def test_a_version_is_taken_once(spark, tmp_path):
     store = PartitionStore(spark, str(tmp_path), spark.range(0).selectExpr("id", "id p").schema, ["p"])
     store.replace(spark.range(3).selectExpr("id", "id p"))
+    assert not store._put_json({}, "_log", f"{1:012d}.entry.json")
     with pytest.raises(Conflict):
-        store._commit({}, 1)
+        store.commit("write", {"p=0": (["gone"], [])})
     assert store.read().count() == 3 and store.read(version=0).count() == 0
 
 
+def test_many_versions_are_read_from_the_last_state(spark, tmp_path):
+    store = PartitionStore(spark, str(tmp_path), spark.range(0).selectExpr("id", "id p").schema, ["p"])
+    for i in range(18):
+        store.replace(spark.range(1).selectExpr(f"{i}L id", f"{i % 2}L p"), append=True)
+    assert store.version() == 18 and store.read().count() == 18 and store.read({"p=0"}).count() == 9
+    assert store.read(version=3).count() == 3
+    store.replace(spark.range(1).selectExpr("99L id", "0L p"))
+    assert store.read().count() == 10 and len(store.vacuum()) == 9 and store.read().count() == 10
+
+
 def test_empty(spark):
     assert deliver_once(spark.createDataFrame([], SCHEMA)).count() == 0

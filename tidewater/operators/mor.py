@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import time
 from collections.abc import Callable
 
@@ -13,10 +14,10 @@ from tidewater.functions.ids import tenant
 from tidewater.operators.changefeed import current_rows, latest_changes
 from tidewater.schema import TableSchema
 from tidewater.session import c, fresh, materialize
-from tidewater.sources.store import partition_folders
+from tidewater.sources.store import PartitionStore, partition_folders
 
-#: Rows the FROM source of an update may have.
-SOURCE_LIMIT = 1_000_000
+#: Source rows of one key that an UPDATE ... FROM folds at once; more are folded in further passes.
+FOLD_ROWS = 10_000
 #: Admission bound of event times: earliest instant, and how far ahead of now, in microseconds.
 EARLIEST_US, AHEAD_US = 946_684_800_000_000, 48 * 3_600_000_000
 
@@ -93,50 +94,62 @@ def admitted(rows: DataFrame, time_column: str, now_us: int) -> DataFrame:
     return rows.where(t.isNull() | t.between(EARLIEST_US, now_us + AHEAD_US))
 
 
+#: A literal, which stays as it is, or a column of the target or the source in the SQL of an UPDATE ... FROM.
+_REFERENCE = re.compile(r"'(?:[^'\\]|\\.)*'|\b([ts])\.`?(\w+)`?")
+
+
 class VersionedTable:
-    """Row versions in Parquet, partitioned by project and date."""
+    """Row versions in a store partitioned by project and date; every statement is one entry of its log."""
 
     def __init__(self, spark: SparkSession, path: str, schema: TableSchema, clock: Clock | None = None, on_write: Callable[[DataFrame], None] | None = None):
         self.spark, self.path, self.schema, self.clock, self.on_write = spark, path, schema, clock or Clock(), on_write
-        self._written = False
+        bloom = {f"parquet.bloom.filter.enabled#{f.name}": "true" for f in schema.fields if f.bloom}
+        self.store = PartitionStore(spark, path, schema.spark(), list(schema.partitions), options=bloom)
 
-    def versions(self) -> DataFrame:
-        if not self._exists():
-            return self.spark.createDataFrame([], self.schema.spark())
-        return self.spark.read.schema(self.schema.spark()).parquet(self.path).select(*[c(f.name) for f in self.schema.fields])
+    @property
+    def keys(self) -> list[str]:
+        """The key of resolution: partition columns are immutable, so they can be part of it."""
+        return list(dict.fromkeys([*self.schema.partitions, *self.schema.dedup_keys]))
 
-    def _exists(self) -> bool:
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
+    def _order(self) -> list[Column]:
+        """Partition columns first, or the writer would sort by them once more and undo the rest."""
+        return [c(x) for x in dict.fromkeys([*self.schema.partitions, *(self.schema.sort or self.schema.dedup_keys)])]
 
-    def read(self, clean: DataFrame | None = None) -> DataFrame:
-        """Current rows. `clean` lists partitions (their columns) that are certified to hold one version of each key,
-        as after `dedup_rewrite`; these are not ranked again. Any later write to a partition ends its certificate.
-        """
-        if clean is None:
+    def versions(self) -> DataFrame:
+        return self.store.read()
+
+    def read(self) -> DataFrame:
+        """Current rows. Partitions that the log certifies to hold one version of each key, as after `dedup_rewrite`, are
+        not ranked again; any later write to a partition ends its certificate."""
+        now = self.store.state()
+        if not now.clean:
             return resolve(self.versions(), self.schema)
-        v, parts = self.versions().alias("v"), clean.select(*[c(p) for p in self.schema.partitions]).distinct().alias("c")
-        on = [F.col(f"v.`{p}`").eqNullSafe(F.col(f"c.`{p}`")) for p in self.schema.partitions]
-        certified = v.join(parts, on, "left_semi")
+        certified = self.store.scan(self.store.paths({f: now.refs[f] for f in now.clean if f in now.refs}, now.written))
         certified = current_rows(certified, self.schema.tombstone) if self.schema.tombstone else certified
-        return certified.unionByName(resolve(v.join(parts, on, "left_anti"), self.schema))
+        rest = {f: r for f, r in now.refs.items() if f not in now.clean}
+        return certified.unionByName(resolve(self.store.scan(self.store.paths(rest, now.written)), self.schema)) if rest else certified
 
-    def _append(self, rows: DataFrame) -> int:
+    def logical_count(self) -> int:
+        """How many rows `read` has: certified partitions by the counts in the log, only the others are resolved."""
+        now = self.store.state()
+        rest = {f: r for f, r in now.refs.items() if f not in now.clean}
+        counted = sum(now.clean[f] for f in now.clean if f in now.refs)
+        return counted + (resolve(self.store.scan(self.store.paths(rest, now.written)), self.schema).count() if rest else 0)
+
+    def _append(self, rows: DataFrame, operation: str = "insert", times: str | None = None) -> int:
         """Write rows under one stamp, counting them on the way. Rows may be read from the table itself: what a plan
-        reads is fixed when it is made, and files are only added."""
+        reads is fixed when it is made, and files are only added. `times`: a column to add up instead of counting rows.
+        Rebalancing by partition, not every task writing into every partition, keeps the files few and well-sized."""
         stamp = F.timestamp_micros(F.lit(self.clock.stamp()).cast("long"))
-        stamped = rows.withColumn(self.schema.version, stamp) if self.schema.version else rows
-        ready = stamped.select(*[c(f.name) for f in self.schema.fields])
         seen = Observation()
-        counted = ready.observe(seen, F.count(F.lit(1)).alias("n"))
-        writer = counted.sortWithinPartitions(*[c(x) for x in (self.schema.sort or self.schema.dedup_keys)]).write.mode("append")
-        for f in self.schema.fields:
-            if f.bloom:
-                writer = writer.option(f"parquet.bloom.filter.enabled#{f.name}", "true")
-        writer.partitionBy(*self.schema.partitions).parquet(self.path)
-        n = seen.get.get("n", 0)
-        if n and self.on_write:
-            self.on_write(ready)
+        counted = rows.observe(seen, (F.sum(times) if times else F.count(F.lit(1))).alias("n"))
+        stamped = counted.withColumn(self.schema.version, stamp) if self.schema.version else counted
+        ready = stamped.select(*[c(f.name) for f in self.schema.fields])
+        ready = ready.hint("rebalance", *[c(p) for p in self.schema.partitions]).sortWithinPartitions(*self._order())
+        generation, folders = self.store.replace(ready, append=True, operation=operation)
+        n = seen.get.get("n", 0) or 0
+        if folders and self.on_write:
+            self.on_write(self.store.read_generation(generation))
         return n
 
     def insert(self, rows: DataFrame) -> int:
@@ -155,82 +168,106 @@ class VersionedTable:
         self._guard(list(assignments), project)
         rows = self.read().where(c("project_id") == project)
         rows = rows.where(where) if where is not None else rows
-        return self._append(rows.withColumns({k: v.cast(dict(rows.dtypes)[k]) if dict(rows.dtypes)[k] != "variant" else v for k, v in assignments.items()}))
+        return self._append(rows.withColumns({k: v.cast(dict(rows.dtypes)[k]) if dict(rows.dtypes)[k] != "variant" else v for k, v in assignments.items()}), "update")
 
     def delete(self, project: str, where: Column | None = None) -> int:
         """Append tombstones of the current rows that match; returns how many."""
         self._guard([], project)
         rows = self.read().where(c("project_id") == project)
         rows = rows.where(where) if where is not None else rows
-        return self._append(rows.withColumn(self.schema.tombstone, F.lit(True)))
+        return self._append(rows.withColumn(self.schema.tombstone, F.lit(True)), "delete")
 
     def update_from(self, project: str, source: DataFrame, on: dict[str, str], assignments: dict[str, str], where: str | None = None, order: str | None = None) -> int:
         """UPDATE ... FROM: join current rows with `source` on target column -> source column.
 
-        `assignments` and `where` are SQL over t.* and s.*. Source rows with the same key are applied one after
-        the other, in the order of `order`, so that the last one wins and each sees what the one before left.
+        `assignments` and `where` are SQL over t.* and s.*. Source rows with the same key count one after the other, in
+        the order of `order` (else that of the source, which is fixed first), so that the last one wins and each sees what the one before
+        left. Returns how many times a row was changed. Source rows with a null key match nothing.
+
+        The table is read, joined and written once. Where neither assignments nor condition look at the target, the
+        source is reduced to the last row of each key before the join, map-side; else the rows of a key are folded over the target
+        row as an array of at most FOLD_ROWS, and a key with more takes a further pass.
         """
         self._guard(list(assignments), project)
-        n = source.count()
-        if n > SOURCE_LIMIT:
-            raise DmlError(f"the source has {n} rows, more than {SOURCE_LIMIT}")
-        turn, = fresh(source, "turn")
-        keys = [c(x) for x in on.values()]
-        by = W.partitionBy(*keys).orderBy(c(order) if order else F.monotonically_increasing_id())
-        turned = source.where(F.expr(" AND ".join(f"`{x}` IS NOT NULL" for x in on.values()))).withColumn(turn, F.row_number().over(by))
-        rounds = turned.agg(F.max(turn)).first()[0] or 0
+        turn, times, fold = fresh(source, "turn", "times", "fold")
+        at = source.where(F.expr(" AND ".join(f"`{x}` IS NOT NULL" for x in on.values())))
+        first = [c(order)] if order else []
+        rows = materialize(at.withColumn(turn, F.struct(*[x.alias(f"o{i}") for i, x in enumerate(first)], F.monotonically_increasing_id().alias("id"))))
+        texts = [*assignments.values(), *([where] if where else [])]
+        sees_target = any(m[1] == "t" for x in texts for m in _REFERENCE.finditer(x))
+        columns = F.struct(*[c(x) for x in source.columns])
+        keys = [c(x).alias(f"k{i}") for i, x in enumerate(on.values())]
+        names = [f"k{i}" for i in range(len(on))]
+        target = lambda: self.read().where(c("project_id") == project).alias("t")
+        matches = F.expr(" AND ".join(f"t.`{a}` = m.k{i}" for i, a in enumerate(on)))
+        if not sees_target:
+            kept = rows.alias("s").where(F.expr(where)) if where else rows
+            last = kept.select(*keys, columns.alias("s"), c(turn).alias(turn)).groupBy(*names).agg(F.max_by("s", turn).alias("s"), F.count("*").alias(times)).alias("m")
+            joined = target().join(last, matches)
+            kinds = dict(target().dtypes)
+            new = [(F.expr(assignments[x]).cast(kinds[x]) if x in assignments else F.col(f"t.`{x}`")).alias(x) for x in kinds]
+            return self._append(joined.select(*new, F.col(f"m.{times}").alias(times)), "update", times)
+        ranked = rows.select(*keys, columns.alias("s"), c(turn).alias(turn))
+        ranked = ranked.withColumn(fold, ((F.row_number().over(W.partitionBy(*names).orderBy(turn)) - 1) / FOLD_ROWS).cast("int"))
+        ranked = materialize(ranked)
         changed = 0
-        for k in range(1, rounds + 1):
-            t, s = self.read().where(c("project_id") == project).alias("t"), turned.where(F.col(turn) == k).alias("s")
-            condition = F.expr(" AND ".join(f"t.`{a}` = s.`{b}`" for a, b in on.items()))
-            joined = t.join(s, condition & F.expr(where) if where else condition)
-            kinds = dict(t.dtypes)
-            new = [F.expr(assignments[x]).cast(kinds[x]).alias(x) if x in assignments else F.col(f"t.`{x}`").alias(x) for x in t.columns]
-            changed += self._append(joined.select(*new))
+        for k in range((ranked.agg(F.max(fold)).first()[0] or 0) + 1):
+            arrays = ranked.where(F.col(fold) == k).groupBy(*names).agg(F.array_sort(F.collect_list(F.struct(turn, "s"))).alias("rows")).alias("m")
+            read = target()
+            kinds = dict(read.dtypes)
+            inside = lambda x: _REFERENCE.sub(lambda m: f"acc.`{m[2]}`" if m[1] == "t" and m[2] in assignments else f"e.s.`{m[2]}`" if m[1] == "s" else m[0], x)
+            start = ", ".join(f"'{x}', t.`{x}`" for x in assignments)
+            step = ", ".join(f"'{x}', CAST({inside(v)} AS {kinds[x]})" for x, v in assignments.items())
+            taken = f"named_struct({step}, '{times}', acc.`{times}` + 1L)"
+            merge = f"CASE WHEN {inside(where)} THEN {taken} ELSE acc END" if where else taken
+            folded = F.expr(f"aggregate(m.rows, named_struct({start}, '{times}', 0L), (acc, e) -> {merge})")
+            joined = read.join(arrays, matches).withColumn(fold, folded).where(F.col(f"{fold}.{times}") > 0)
+            new = [(F.col(f"{fold}.`{x}`") if x in assignments else F.col(f"t.`{x}`")).alias(x) for x in kinds]
+            changed += self._append(joined.select(*new, F.col(f"{fold}.{times}").alias(times)), "update", times)
         return changed
 
     def compacted(self, target_path: str) -> VersionedTable:
         """A copy that keeps only the newest version of each key; tombstones stay, so late changes cannot revive."""
-        keys = list(dict.fromkeys([*self.schema.partitions, *self.schema.dedup_keys]))
-        newest = latest_changes(self.versions(), keys, self.schema.version, self.schema.tombstone)
-        newest.repartition(*[c(p) for p in self.schema.partitions]).write.partitionBy(*self.schema.partitions).parquet(target_path)
-        return VersionedTable(self.spark, target_path, self.schema, self.clock, self.on_write)
+        newest = latest_changes(self.versions(), self.keys, self.schema.version, self.schema.tombstone)
+        copy = VersionedTable(self.spark, target_path, self.schema, self.clock, self.on_write)
+        copy.store.replace(newest.hint("rebalance", *[c(p) for p in self.schema.partitions]), operation="copy")
+        return copy
 
     def dedup_rewrite(self) -> int:
-        """Reduce the partitions that hold several versions of a key to the newest ones, in place; returns rows removed.
+        """Reduce the partitions that hold several versions of a key to the newest ones; returns rows removed.
 
-        Only those partitions are read and written. The new files are staged and counted before the old ones go.
+        Only those partitions are read and written; one entry of the log replaces them and certifies them clean. A writer
+        that changed one of them meanwhile makes it fail with nothing replaced.
         """
-        keys = list(dict.fromkeys([*self.schema.partitions, *self.schema.dedup_keys]))
         parts = list(self.schema.partitions)
         touched = materialize(self.duplicates().groupBy(*[c(p) for p in parts]).agg(F.sum("surplus").alias("surplus")))
         removed = touched.agg(F.coalesce(F.sum("surplus"), F.lit(0))).first()[0]
         if not removed:
             return 0
-        on = [F.col(f"v.`{p}`").eqNullSafe(F.col(f"t.`{p}`")) for p in parts]
-        old = self.versions().alias("v").join(touched.alias("t"), on, "left_semi")
-        newest = latest_changes(old, keys, self.schema.version, self.schema.tombstone)
-        jvm = self.spark._jvm
-        path = lambda *x: jvm.org.apache.hadoop.fs.Path("/".join((self.path, *x)))
-        fs = path().getFileSystem(self.spark._jsc.hadoopConfiguration())
-        fs.delete(path("_staging"), True)
-        newest.repartition(*[c(p) for p in parts]).sortWithinPartitions(*[c(x) for x in self.schema.dedup_keys]).write.partitionBy(*parts).parquet(f"{self.path}/_staging")
-        n = self.spark.read.schema(self.schema.spark()).parquet(f"{self.path}/_staging").count()
-        if n != old.count() - removed:
-            raise DmlError(f"the rewrite has {n} rows; nothing was replaced")
-        for folder in partition_folders(touched, parts):
-            gone = [x.getPath() for x in fs.listStatus(path(folder))]
-            for x in fs.listStatus(path("_staging", folder)):
-                fs.rename(x.getPath(), path(folder, x.getPath().getName()))
-            for x in gone:
-                fs.delete(x, False)
-        fs.delete(path("_staging"), True)
+        folders = partition_folders(touched, parts)
+        self.certify(folders)
         return removed
 
+    def certify(self, folders: set[str]) -> None:
+        """Rewrite partitions with the newest version of each key and record in the log that they are clean, with their live rows."""
+        store = self.store
+        before = store.state()
+        refs = {f: before.refs[f] for f in folders if f in before.refs}
+        old = store.scan(store.paths(refs, before.written))
+        newest = latest_changes(old, self.keys, self.schema.version, self.schema.tombstone)
+        placed = newest.hint("rebalance", *[c(p) for p in self.schema.partitions]).sortWithinPartitions(*self._order())
+        generation, written = store.write(placed)
+        new = store.read_generation(generation)
+        keys = old.select(*[c(k) for k in self.keys]).distinct().count()
+        n = new.count()
+        if n != keys:
+            raise DmlError(f"the rewrite has {n} rows for {keys} keys; nothing was replaced")
+        live = store.live_rows(current_rows(new, self.schema.tombstone) if self.schema.tombstone else new)
+        store.commit("dedup", {f: (r, [generation] if f in written else []) for f, r in refs.items()}, generation, len(written), {f: live.get(f, 0) for f in refs}, n)
+
     def duplicates(self) -> DataFrame:
         """Ten-minute bins that hold more than one version of a key: what a dedup rewrite has to touch."""
         t = F.unix_micros(c(self.schema.time_column).cast("timestamp"))
         bins = F.timestamp_micros(t - F.pmod(t, F.lit(600_000_000)))
-        keys = list(dict.fromkeys([*self.schema.partitions, *self.schema.dedup_keys]))
-        many = self.versions().groupBy(*[c(k) for k in keys]).count().where("count > 1")
+        many = self.versions().groupBy(*[c(k) for k in self.keys]).count().where("count > 1")
         return many.groupBy(*[c(p) for p in self.schema.partitions], bins.alias("bin")).agg(F.count("*").alias("keys"), F.sum(F.col("count") - 1).alias("surplus"))

@@ -3,7 +3,7 @@
 A store keeps one winner per message, in partitions, next to an identifier index: per partition, the sorted
 hashes of its keys. A batch of incoming rows looks its keys up in the index, which names the historical
 partitions that hold earlier copies; only those are read, combined with the batch, reduced to single winners
-and overwritten, data and index in one atomic commit each.
+and overwritten. Messages and index of a batch become visible by one commit.
 """
 
 from __future__ import annotations
@@ -54,6 +54,7 @@ class MessageStore:
     """Exactly one row per message, kept up to date batch by batch."""
 
     PARTITIONS = ["msg_date", "slot"]
+    INDEX = "index"
 
     def __init__(self, spark: SparkSession, root: str, columns: T.StructType, stamp: str = "updated_at"):
         own = {"msg_id", "ts_ms", "deliveries", "msg_date", "slot"}
@@ -65,38 +66,43 @@ class MessageStore:
         )
         key = T.StructType([T.StructField("key_hash", T.LongType()), T.StructField("msg_date", T.DateType()), T.StructField("slot", T.IntegerType())])
         self.spark, self.stamp = spark, stamp
-        self.data = PartitionStore(spark, f"{root}/messages", schema, self.PARTITIONS)
-        self.index = PartitionStore(spark, f"{root}/index", key, self.PARTITIONS)
+        self.store = PartitionStore(spark, root, schema, self.PARTITIONS, side={self.INDEX: key})
 
     def affected(self, batch: DataFrame) -> set[str]:
-        """Historical partitions that hold a message of the batch. The index is read for the batch's dates only."""
+        """Historical partitions that hold a message of the batch. Of the index, the batch's dates are read; its files are
+        sorted by key hash, so of these only what lies between the least and the greatest hash of the batch."""
+        now = self.store.state()
+        if not now.refs:
+            return set()
         wanted = batch.select(F.xxhash64("msg_id", "ts_ms").alias("key_hash"), "msg_date").distinct()
-        dates = {r[0] for r in batch.select("msg_date").distinct().collect()}
-        held = {f for f in self.index.manifest() if any(f.startswith(f"msg_date={d}/") for d in dates)}
+        seen = wanted.groupBy("msg_date").agg(F.min("key_hash").alias("lo"), F.max("key_hash").alias("hi")).collect()  # a row per date
+        held = {f: r for f, r in now.refs.items() if any(f.startswith(f"msg_date={d['msg_date']}/") for d in seen)}
         if not held:
             return set()
-        hits = self.index.read(held).join(wanted, ["key_hash", "msg_date"], "left_semi")
-        return partition_folders(hits, self.PARTITIONS)
+        lo, hi = min(d["lo"] for d in seen), max(d["hi"] for d in seen)
+        index = self.store.scan(self.store.paths(held, now.written, self.INDEX), self.INDEX).where(F.col("key_hash").between(lo, hi))
+        return partition_folders(index.join(wanted, ["key_hash", "msg_date"], "left_semi"), self.PARTITIONS)
 
     def apply(self, incoming: DataFrame) -> set[str]:
-        """Merge a batch; returns the folders that were overwritten. Applying a batch of new deliveries counts them."""
+        """Merge a batch; returns the folders that were written. Applying a batch of new deliveries counts them."""
         batch = messages(incoming)
-        folders = self.affected(batch) if self.data.version() else set()
+        folders = self.affected(batch)
         combined = batch.withColumn("deliveries", F.lit(1).cast("long"))
         if folders:
-            history = self.data.read(folders)
+            history = self.store.read(folders)
             combined = history.select(*[c(x) for x in combined.columns]).unionByName(combined)
         won = single_winners(combined, self.stamp)
         # rebalancing gathers each partition's rows, splits a hot partition by size and joins small ones into a task
         placed = won.hint("rebalance", F.col("msg_date"), F.col("slot"))
+        keys = lambda new: new.select(F.xxhash64("msg_id", "ts_ms").alias("key_hash"), "msg_date", "slot").sortWithinPartitions("msg_date", "slot", "key_hash")
         # partitions that only receive new messages are appended to, the affected ones are overwritten
-        generation, written = self.data.replace(placed, drop=folders, append=True)
-        keys = self.data.read_generation(generation).select(F.xxhash64("msg_id", "ts_ms").alias("key_hash"), "msg_date", "slot")
-        self.index.replace(keys.sortWithinPartitions("msg_date", "slot", "key_hash"), drop=folders, append=True)
-        return written
+        return self.store.replace(placed, drop=folders, append=True, operation="messages", side={self.INDEX: keys})[1]
+
+    def index(self) -> DataFrame:
+        return self.store.read(dataset=self.INDEX)
 
     def read(self) -> DataFrame:
-        return self.data.read()
+        return self.store.read()
 
 
 def ingest(spark: SparkSession, root: str, rows: DataFrame, stamp: str, batches: list) -> MessageStore:

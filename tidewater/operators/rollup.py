@@ -106,7 +106,7 @@ class Ask:
 
 @dataclass(frozen=True)
 class AggregateQuery:
-    """start and end (micros) bound the half-open window; end None is open. `where` is dimension -> values,
+    """start and end (micros) bound the half-open window; end None is open. `all_projects` says that no project is meant in particular. `where` is dimension -> values,
     `row_filter` a condition on raw rows, `coalesce` replaces nulls of grouped dimensions."""
 
     asks: tuple[Ask, ...]
@@ -114,6 +114,7 @@ class AggregateQuery:
     end: int | None
     projects: tuple[str, ...] = ()
     by_project: bool = False
+    all_projects: bool = False
     bucket: int | None = None
     group: tuple[str, ...] = ()
     where: dict[str, tuple] = field(default_factory=dict)
@@ -188,7 +189,7 @@ def _measure(spec: RollupSpec, agg: str, column: str | None, condition: str | No
 def _match(q: AggregateQuery, spec: RollupSpec) -> Decline | None:
     if q.start is None:
         return Decline.UNBOUNDED_TIME
-    if not q.projects and not q.by_project:
+    if not q.projects and not q.by_project and not q.all_projects:
         return Decline.PROJECT_NOT_PINNED
     if q.distinct:
         return Decline.DISTINCT
@@ -247,6 +248,30 @@ def _within(micros: Column, ranges) -> Column:
     return reduce(lambda x, y: x | y, tests) if tests else F.lit(False)
 
 
+def rows_within(raw: DataFrame, ranges) -> DataFrame:
+    """Raw rows of the ranges (micros), by conditions that reach the files: on the timestamp as it is, and on the date partition."""
+    at = lambda us: F.timestamp_micros(F.lit(us))
+    t = c("timestamp") if dict(raw.dtypes)["timestamp"] == "timestamp" else c("timestamp").cast("timestamp")
+
+    def one(a: int, b: int) -> Column:
+        dated = "date" in raw.columns
+        test = t.isNotNull() if a <= -_OPEN_END else (t >= at(a)) & (c("date") >= F.to_date(at(a))) if dated else t >= at(a)
+        if b < _OPEN_END:
+            test = test & (t < at(b)) & (c("date") <= F.to_date(at(b - 1))) if dated else test & (t < at(b))
+        return test
+
+    return raw.where(reduce(lambda x, y: x | y, [one(a, b) for a, b in ranges]) if ranges else F.lit(False))
+
+
+def _stored_within(tier: DataFrame, ranges) -> DataFrame:
+    """Tier rows of the ranges; a stored tier is pruned by date too."""
+    out = tier.where(_within(F.col("bucket"), ranges))
+    if "date" in tier.columns and ranges:
+        out = out.where(F.col("date") >= F.to_date(F.timestamp_micros(F.lit(ranges[0][0]))))
+        out = out.where(F.col("date") <= F.to_date(F.timestamp_micros(F.lit(ranges[-1][1] - 1)))) if ranges[-1][1] < _OPEN_END else out
+    return out
+
+
 def _filtered(df: DataFrame, q: AggregateQuery) -> DataFrame:
     if q.projects:
         df = df.where(c("project_id").isin(*q.projects))
@@ -304,15 +329,14 @@ class _RawSpec(RollupSpec):
 def answer(q: AggregateQuery, raw: DataFrame, tiers: list[Tier]) -> tuple[DataFrame, Routed]:
     """The query's rows and how they were come by. Routed and raw answers are equal, digests up to their error."""
     routed = route(q, tiers)
-    micros = F.unix_micros(c("timestamp").cast("timestamp"))
     if routed.tier is None:
         spec = raw_spec(q)
         window = [(q.start if q.start is not None else -_OPEN_END, q.end if q.end is not None else _OPEN_END)]
-        rows = _filtered(raw.where(_within(micros, window)), q)
+        rows = _filtered(rows_within(raw, window), q)
         return _final(build(rows, spec), q, spec), routed
     spec = routed.tier.spec
-    states = _filtered(routed.tier.data.where(_within(F.col("bucket"), routed.from_tier)), q)
+    states = _filtered(_stored_within(routed.tier.data, routed.from_tier), q)
     if routed.from_raw:
-        edges = build(_filtered(raw.where(_within(micros, routed.from_raw)), q), spec)
-        states = states.select(*edges.columns).unionByName(edges)
+        edges = build(_filtered(rows_within(raw, routed.from_raw), q), spec)
+        states = states.select(*[c(x) for x in edges.columns]).unionByName(edges)
     return _final(states, q, spec), routed

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
+from collections import defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewater.functions.ids import tenant
 from tidewater.operators.changefeed import latest_changes
-from tidewater.session import c, fresh, hashable, materialize, work_dir
+from tidewater.session import c, fresh, hashable, materialize
+from tidewater.sources.store import PartitionStore, State
 
 #: Files below this size are worth merging.
 SMALL_BYTES = 32_768
@@ -45,25 +50,34 @@ def live_files(actions: DataFrame) -> DataFrame:
     return latest_changes(known, ["path"], "commit_version", "removed", (counted,)).where(~F.col("removed")).drop("removed", "commit_version")
 
 
-def small_live_files(actions: DataFrame, small_bytes: int = SMALL_BYTES, at_least: int = 2) -> DataFrame:
-    """Live files below `small_bytes` of partitions that have `at_least` of them.
+def work_list(files: DataFrame, by: list[str], small_bytes: int = SMALL_BYTES, target_bytes: int = TARGET_BYTES, at_least: int = 2) -> DataFrame:
+    """The files to merge, with the `split` of their partition (`by`) they are read in: files (path, size_bytes, ...) below
+    `small_bytes` of partitions that have `at_least` of them. `compact` and the queries on the log both start from it.
 
-    Counts are aggregated before they shuffle and joined back, so a partition with a third of all files is
-    never gathered in one task (AQE splits its side of the join).
+    Splits are those of the engine's packing: files by falling size, each weighing its bytes and the cost of opening it,
+    a split ending at `target_bytes`. Counts are aggregated before they shuffle and joined back; a task holds the names of
+    one partition's small files, as a stream.
     """
-    small = live_files(actions).where(F.col("size_bytes") < small_bytes)
-    several = small.groupBy("project_id", "date").count().where(F.col("count") >= at_least)
-    on = small["project_id"].eqNullSafe(several["project_id"]) & small["date"].eqNullSafe(several["date"])
-    return small.join(several, on, "left_semi")
+    small = files.where(F.col("size_bytes") < small_bytes)
+    several = small.groupBy(*by).count().where(F.col("count") >= at_least)
+    on = reduce(lambda x, y: x & y, [small[k].eqNullSafe(several[k]) for k in by])
+    (n,) = fresh(small, "bytes")
+    order = W.partitionBy(*by).orderBy(F.col("size_bytes").desc(), "path").rowsBetween(W.unboundedPreceding, -1)
+    ahead = small.join(several, on, "left_semi").withColumn(n, F.coalesce(F.sum(F.col("size_bytes") + OPEN_COST_BYTES).over(order), F.lit(0)))
+    return ahead.withColumn("split", (c(n) / target_bytes).cast("int")).drop(n)
 
 
-def compaction_plan(actions: DataFrame, target_bytes: int = TARGET_BYTES, small_bytes: int = SMALL_BYTES) -> DataFrame:
-    """Per partition: small live files, their bytes and records, and the number of files they become."""
-    small = small_live_files(actions, small_bytes)
-    return small.groupBy("project_id", "date").agg(
+def small_live_files(actions: DataFrame, small_bytes: int = SMALL_BYTES) -> DataFrame:
+    """The work list of the live files of a log of file actions."""
+    return work_list(live_files(actions), ["project_id", "date"], small_bytes)
+
+
+def compaction_plan(actions: DataFrame, small_bytes: int = SMALL_BYTES) -> DataFrame:
+    """Per partition: small live files, their bytes and records, and the number of splits they are read and written in."""
+    return small_live_files(actions, small_bytes).groupBy("project_id", "date").agg(
         F.count("*").alias("files_before"), F.sum("size_bytes").alias("bytes"),
         F.sum("num_records").alias("known_records"), F.count_if(F.col("num_records").isNull()).alias("files_without_count"),
-        F.expr(f"greatest(1, cast(ceil(sum(size_bytes) / {target_bytes}) as bigint))").alias("files_after"),
+        (F.max("split") + 1).cast("long").alias("files_after"),
     )
 
 
@@ -119,33 +133,21 @@ def _digest(df: DataFrame) -> tuple[int, str]:
     return n, f"{a}/{b}"
 
 
-def _read(spark: SparkSession, files: list[str]) -> DataFrame:
-    """Files with the columns that any of them has; fails where they have a column in types that don't merge."""
-    return spark.read.option("mergeSchema", "true").parquet(*files)
+def packed(store: PartitionStore, session: SparkSession, paths: list[str], size: int, target_bytes: int, schema: T.StructType) -> DataFrame:
+    """Files of one partition read as combined splits of about `target_bytes`: the engine's own packing, and no shuffle."""
+    return store.scan(paths, session=session, schema=schema).coalesce(max(1, -(-size // target_bytes)))
 
 
-def packed(spark: SparkSession, files: list[str], size: int, target_bytes: int) -> DataFrame:
-    """Files read as combined splits of about `target_bytes`: the engine's own packing, and no shuffle."""
+def packing_session(spark: SparkSession, target_bytes: int) -> SparkSession:
     own = spark.newSession()
     own.conf.set("spark.sql.files.maxPartitionBytes", str(target_bytes))
     own.conf.set("spark.sql.files.openCostInBytes", str(OPEN_COST_BYTES))
     own.conf.set("spark.sql.files.minPartitionNum", "1")
-    want = max(1, -(-size // target_bytes))
-    return _read(own, files).coalesce(want)
+    return own
 
 
-def rewrite(spark: SparkSession, files: list[str], size: int, out: str, target_bytes: int = TARGET_BYTES, sort: list[str] = ()) -> int:
-    """Write the rows of `files` to the staging folder `out`, verify it, return the number of rows."""
-    merged = packed(spark, files, size, target_bytes)
-    (merged.sortWithinPartitions(*[c(x) for x in sort]) if sort else merged).write.parquet(out)
-    before, after = _digest(_read(spark, files)), _digest(spark.read.schema(merged.schema).parquet(out))
-    if before != after:
-        raise VerificationFailed(f"{before} in, {after} out")
-    return after[0]
-
-
-def lay_out(rows: DataFrame, files: DataFrame, root: str, key: list[str]) -> None:
-    """Write `rows` below `root` as project_id=.../date=..., each partition in as many files as `files` (project_id, date) has rows of it.
+def lay_out(rows: DataFrame, files: DataFrame, store: PartitionStore, key: list[str]) -> None:
+    """Write `rows` to `store` (partitioned by project_id and date), each partition in as many files as `files` has rows of it.
 
     A partition without any gets one file. Rows go to a file by the hash of `key`. The n-th file of a partition is written
     by task n, shifted by the partition so that tasks get about as many files each; there are as many tasks as a partition has files at most.
@@ -157,43 +159,82 @@ def lay_out(rows: DataFrame, files: DataFrame, root: str, key: list[str]) -> Non
     spread = rows.join(wanted, rows["project_id"].eqNullSafe(wanted["p"]) & rows["date"].eqNullSafe(wanted["d"]), "left").drop("p", "d")
     at = F.pmod(F.xxhash64(*[c(x) for x in key]), F.coalesce(c(n), F.lit(1))) + F.pmod(F.xxhash64("project_id", "date"), F.lit(most))
     tasks = spread.withColumn(to, (at % most).cast("int")).repartitionById(most, c(to))
-    tasks.drop(n, to).write.partitionBy("project_id", "date").parquet(root)
+    store.replace(tasks.drop(n, to), operation="lay out")
+
 
+#: Partitions that are rewritten by one job and committed together.
+FOLDERS_PER_JOB = 64
 
-def compact(spark: SparkSession, root: str, small_bytes: int = SMALL_BYTES, target_bytes: int = TARGET_BYTES, sort: list[str] = (), parallel: int = 8) -> list[Rewrite]:
-    """Merge the small files of each partition folder of a Parquet table.
 
-    Output is staged next to the table in _staging, verified against the input by row count and content digest,
-    then moved in before the old files are removed; a failure before the move leaves the table as it was. One
-    small job per partition folder, `parallel` at a time; the driver holds file names and sizes only. Files of a
-    folder may differ in columns: the output has all of them. Types that don't merge fail before anything is written.
+def stored_files(store: PartitionStore, state: State) -> DataFrame:
+    """(path, folder, generation, name, size_bytes) of the files a version refers to, listed by the engine, none opened."""
+    paths = store.paths(state.refs, state.written)
+    if not paths:
+        return store.spark.createDataFrame([], "path string, folder string, generation string, name string, size_bytes long")
+    listed = store.spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(paths)
+    part = lambda k: F.regexp_extract("path", "/data/main/gen=([^/]+)/(.*)/([^/]+)$", k)
+    return listed.select("path", part(2).alias("folder"), part(1).alias("generation"), part(3).alias("name"), F.col("length").alias("size_bytes"))
+
+
+def compact(store: PartitionStore, small_bytes: int = SMALL_BYTES, target_bytes: int = TARGET_BYTES, sort: list[str] = ()) -> list[Rewrite]:
+    """Merge the small files of each partition of a stored table.
+
+    Up to FOLDERS_PER_JOB partitions are one job: each partition's small files are read as combined splits and written, without a
+    shuffle, as a new generation. That is held against the input by row count and content digest before one entry of the log
+    replaces exactly the files that were read; readers see the old files or the new ones. Rows and files that others
+    add meanwhile stay; if others replaced the same files, nothing is committed. Large files stay where they are.
+    The new files have every column that any file has. The driver holds the file names of one job.
     """
-    jvm = spark._jvm
-    fs = jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark._jsc.hadoopConfiguration())
-    path = lambda *x: jvm.org.apache.hadoop.fs.Path("/".join(x))
-    folders: dict[str, list[tuple[str, int]]] = {}
-    listing = fs.listFiles(path(root), True)
-    while listing.hasNext():
-        status = listing.next()
-        full = status.getPath().toString()
-        if full.endswith(".parquet") and "/_" not in full[len(root) :] and status.getLen() < small_bytes:
-            folders.setdefault(full.rpartition("/")[0], []).append((full, status.getLen()))
-
-    def one(folder: str) -> Rewrite:
-        found = folders[folder]
-        staging = work_dir(spark, "staging") if not root else f"{root}/_staging/{abs(hash(folder)):x}"
-        fs.delete(path(staging), True)
-        rows = rewrite(spark, [f for f, _ in found], sum(n for _, n in found), staging, target_bytes, sort)
-        outputs = [x.getPath() for x in fs.listStatus(path(staging)) if x.getPath().getName().endswith(".parquet")]
-        for k, x in enumerate(outputs):
-            if not fs.rename(x, path(folder, f"compact-{k:05d}-{x.getName()}")):
-                raise OSError(f"{x} could not be moved")
-        for f, _ in found:
-            fs.delete(path(f), False)
-        fs.delete(path(staging), True)
-        return Rewrite(folder, len(found), len(outputs), rows)
-
-    with ThreadPoolExecutor(parallel) as pool:
-        done = list(pool.map(one, sorted(f for f, x in folders.items() if len(x) > 1)))
-    fs.delete(path(root, "_staging"), True)
+    state = store.state()
+    files = materialize(stored_files(store, state))
+    todo = work_list(files, ["folder"], small_bytes, target_bytes).select("path", F.lit(True).alias("small"))
+    both = files.join(todo.select("path", "small"), "path", "left").withColumn("some", F.max("small").over(W.partitionBy("folder")))
+    rows = both.where("some").select("folder", "generation", "name", "size_bytes", F.coalesce("small", F.lit(False)).alias("small")).orderBy("folder", "name")
+    done: list[Rewrite] = []
+    for batch in _in_batches(groupby(rows.toLocalIterator(), key=lambda r: r["folder"]), FOLDERS_PER_JOB):
+        done += _rewrite(store, state, batch, target_bytes, sort)
     return done
+
+
+def _in_batches(groups: Iterator, size: int) -> Iterator[dict[str, list]]:
+    now: dict[str, list] = {}
+    for folder, files in groups:
+        now[folder] = list(files)
+        if len(now) == size:
+            yield now
+            now = {}
+    if now:
+        yield now
+
+
+def _rewrite(store: PartitionStore, state: State, batch: dict[str, list], target_bytes: int, sort: list[str]) -> list[Rewrite]:
+    schema, base = store.whole_schema(state), f"{store.root}/data/main"
+    session = packing_session(store.spark, target_bytes)
+    order = [c(x) for x in dict.fromkeys([*store.partition_by, *sort])]
+    legs, change, inputs = [], {}, []
+    for folder, files in batch.items():
+        small = [f for f in files if f["small"]]
+        paths = [f"{base}/gen={f['generation']}/{folder}/{f['name']}" for f in small]
+        inputs += paths
+        legs.append(packed(store, session, paths, sum(f["size_bytes"] for f in small), target_bytes, schema).sortWithinPartitions(*order))
+        by: dict[str, list] = defaultdict(list)
+        for f in files:
+            by[f["generation"]].append(f)
+        old, new = [], []
+        for ref in state.refs[folder]:
+            generation, _, name = ref.partition("/")
+            held = [f for f in by[generation] if not name or f["name"] == name]
+            if any(f["small"] for f in held):
+                old.append(ref)
+                new += [f"{generation}/{f['name']}" for f in held if not f["small"]]
+        change[folder] = (old, new)
+    generation, written = store.write(reduce(DataFrame.unionByName, legs), schema=schema)
+    before, after = _digest(store.scan(inputs, schema=schema)), _digest(store.scan([f"{base}/gen={generation}"], schema=schema))
+    if before != after:
+        raise VerificationFailed(f"{before} in, {after} out")
+    outputs = stored_files(store, State(refs={f: [generation] for f in written}, written={generation: len(written)}))
+    made = {r["folder"]: r["count"] for r in outputs.groupBy("folder").count().collect()}
+    counts = store.live_rows(store.scan([f"{base}/gen={generation}"]))
+    clean = {f: state.clean[f] for f in change if f in state.clean}
+    store.commit("optimize", {f: (old, [*new, generation] if f in written else new) for f, (old, new) in change.items()}, generation, len(written), clean, after[0])
+    return [Rewrite(f, sum(x["small"] for x in files), made.get(f, 0), counts.get(f, 0)) for f, files in batch.items()]

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from urllib.parse import unquote
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewater.functions.ids import span_id, tenant, trace_id
 from tidewater.operators import changefeed, hierarchy, late_events, redelivery, small_files
 from tidewater.session import materialize, utc_micros, work_dir
+from tidewater.sources.store import PartitionStore
 from tidewater.sources.tables import table
 
 KEYS = ["project_id", "timestamp", "id"]
@@ -62,6 +64,13 @@ def p3_hierarchy(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p3_joined(spark: SparkSession, d: str) -> DataFrame:
+    """p3_hierarchy by the joins that trees too large for a task take, for all trees."""
+    return hierarchy.hierarchies(_links(spark, d), with_path=True, tree_limit=0).select(
+        "tree", "node", "root", "depth", F.concat_ws("/", "path").alias("path"), F.coalesce("cycle", F.lit("")).alias("cycle")
+    )
+
+
 def p3_descendants(spark: SparkSession, d: str) -> DataFrame:
     """The number of descendants of each span and how far down they reach."""
     pairs = hierarchy.descendants(hierarchy.hierarchies(_links(spark, d), with_path=True))
@@ -115,6 +124,19 @@ def p4_hourly_whole(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p4_watermarked(spark: SparkSession, d: str) -> DataFrame:
+    """Every message that came after its hour had closed, corrections and diverted ones, where hours close by what projects sent.
+
+    A project's watermark trails its greatest event time by 15 minutes; an hour closes when every project with messages in it has passed its
+    end, one that fell silent 6 hours after its last arrival. Hours that a project holds open take messages on time until the cut-off.
+    """
+    rule = late_events.Lateness(idle=timedelta(hours=6))
+    events = materialize(_arrivals(spark, d))
+    closed = late_events.closing_times(events, late_events.observed_punctuations(events, rule), rule)
+    fates = late_events.classify(events, closed, rule).where("fate in ('correction', 'diverted')")
+    return fates.join(closed.withColumnRenamed("bound", "period_end"), F.col("period_end") == rule.end(F.col("event_us")), "left").select(F.col("msg_id").alias("id"), "ts_ms", "fate", "closed_at")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """The flushes of the first half of the time are history, the rest arrives as a batch."""
     rows = table(spark, d, "otel_logs_and_spans").select("id", "timestamp", "project_id", "updated_at")
@@ -141,25 +163,24 @@ def p7_plan(spark: SparkSession, d: str) -> DataFrame:
 def p7_compacted(spark: SparkSession, d: str) -> DataFrame:
     """The spans in as many small files as the log has, rewritten by compact(): files and rows per partition before and after.
 
-    Rows before are counted in the source, rows and files after in the rewritten table, files before in its listing.
+    Rows before are counted in the source, rows after in the rewritten table, files in the listings of both versions.
     """
     spans = table(spark, d, "otel_logs_and_spans").withColumn("project_id", tenant(F.col("project_id")))
-    root = work_dir(spark, "small-files")
-    small_files.lay_out(spans, small_files.small_live_files(table(spark, d, "file_actions")), root, ["id", "timestamp"])
-    done = small_files.compact(spark, root, small_bytes=small_files.TARGET_BYTES // 4)
-    keys = [[unquote(x.partition("=")[2]) for x in r.folder.split("/")[-2:]] for r in done]
-    listed = spark.createDataFrame([(p, day, r.files_before) for (p, day), r in zip(keys, done, strict=True)], "project_id string, day string, listed long")
-    before = spans.groupBy("project_id", "date").agg(F.count("*").alias("rows_before"))
-    after = spark.read.schema(spans.schema).parquet(root).groupBy("project_id", "date").agg(
-        F.count("*").alias("rows_after"), F.count_distinct("_metadata.file_path").alias("files_after")
-    )
-    both = before.join(after, ["project_id", "date"], "full").withColumn("day", F.col("date").cast("string"))
-    return both.join(listed, ["project_id", "day"], "left").select(
-        "project_id", "date", F.coalesce("listed", "files_after").alias("files_before"), "files_after", "rows_before", "rows_after"
-    )
+    keys = ["project_id", "date"]
+    store = PartitionStore(spark, work_dir(spark, "small-files"), T.StructType([f for f in spans.schema.fields if f.name not in keys] + [f for f in spans.schema.fields if f.name in keys]), keys)
+    small_files.lay_out(spans, small_files.small_live_files(table(spark, d, "file_actions")), store, ["id", "timestamp"])
+    files = lambda name: small_files.stored_files(store, store.state()).groupBy("folder").agg(F.count("*").alias(name))
+    before = materialize(files("files_before"))
+    small_files.compact(store, small_bytes=small_files.TARGET_BYTES // 4)
+    counted = spans.groupBy(*keys).agg(F.count("*").alias("rows_before"))
+    rows = store.read().groupBy(*keys).agg(F.count("*").alias("rows_after"))
+    listed = before.join(files("files_after"), "folder", "full")
+    part = lambda k: F.try_url_decode(F.regexp_extract("folder", f"{k}=([^/]*)", 1))
+    named = listed.select(part("project_id").alias("project_id"), part("date").cast("date").alias("date"), "files_before", "files_after")
+    return counted.join(rows, keys, "full").join(named, keys, "full").select(*keys, "files_before", "files_after", "rows_before", "rows_after")
 
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_incremental, p3_found, p3_hierarchy, p3_descendants, p3_descendants_whole, p4_found, p4_hourly, p4_hourly_whole, p6_found, p6_messages, p7_found, p7_plan, p7_compacted)
+    for f in (p1_found, p1_incremental, p3_found, p3_hierarchy, p3_joined, p3_descendants, p3_descendants_whole, p4_found, p4_hourly, p4_hourly_whole, p4_watermarked, p6_found, p6_messages, p7_found, p7_plan, p7_compacted)
 }

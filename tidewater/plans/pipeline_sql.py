@@ -45,6 +45,31 @@ fates AS (
          WHEN arrival_us > end_us + 900000000 THEN 'correction' ELSE 'on_time' END AS fate
   FROM ends)"""
 
+_WHOLE_TREE = _TREE + """,
+lost AS (SELECT tree, node, parent FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM walk w WHERE w.tree = n.tree AND w.node = n.node)),
+up AS (SELECT tree, node AS start, parent AS at FROM lost UNION SELECT u.tree, u.start, l.parent FROM up u JOIN lost l ON l.tree = u.tree AND l.node = u.at)
+SELECT tree, node, root, depth, path, '' AS cycle FROM walk
+UNION ALL
+SELECT tree, node, '', -1, '', CASE WHEN EXISTS (SELECT 1 FROM up u WHERE u.tree = l.tree AND u.start = l.node AND u.at = l.node) THEN 'on' ELSE 'below' END FROM lost l"""
+
+_WATERMARKED = f"""
+WITH events AS (
+  SELECT msg_id, ts_ms, min(coalesce(project_id, 'default')) AS source, min(epoch_us(timestamp)) AS event_us, min(epoch_us(observed_timestamp)) AS arrival_us
+  FROM ({_MESSAGES}) GROUP BY msg_id, ts_ms),
+known AS (SELECT * FROM events WHERE event_us IS NOT NULL AND arrival_us IS NOT NULL),
+firsts AS (SELECT source, event_us - 900000000 - (event_us - 900000000) % 3600000000 AS bound, min(arrival_us) AS arrival FROM known GROUP BY 1, 2),
+silent AS (SELECT source, max(arrival_us) + 21600000000 AS silent_at FROM known GROUP BY 1),
+asked AS (SELECT DISTINCT source, event_us - event_us % 3600000000 + 3600000000 AS bound FROM events WHERE event_us IS NOT NULL),
+passed AS (
+  SELECT a.source, a.bound, coalesce(min(f.arrival), any_value(s.silent_at)) AS passed_at
+  FROM asked a LEFT JOIN firsts f ON f.source = a.source AND f.bound >= a.bound LEFT JOIN silent s ON s.source = a.source GROUP BY 1, 2),
+closed AS (SELECT bound, max(passed_at) AS closed_at FROM passed GROUP BY bound HAVING count(*) = count(passed_at)),
+fates AS (
+  SELECT e.msg_id, e.ts_ms, c.closed_at,
+    CASE WHEN arrival_us > event_us - event_us % 3600000000 + 3600000000 + 86400000000 THEN 'diverted' WHEN arrival_us > c.closed_at THEN 'correction' END AS fate
+  FROM known e LEFT JOIN closed c ON c.bound = event_us - event_us % 3600000000 + 3600000000)
+SELECT msg_id AS id, ts_ms, fate, closed_at FROM fates WHERE fate IS NOT NULL"""
+
 LIVE = """
 WITH actions AS (
   SELECT *, regexp_extract(replace(replace(path, '%3D', '='), '%3d', '='), '(project_id=[^/]*/date=[^/]*/[^/]+\\.parquet)\\s*$', 1) AS rel
@@ -54,7 +79,8 @@ ranked AS (
   FROM actions WHERE rel <> '' AND commit_version IS NOT NULL),
 small AS (
   SELECT rel, coalesce(project_id, 'default') AS project_id, date, size_bytes, num_records,
-         count(*) OVER (PARTITION BY coalesce(project_id, 'default'), date) AS n
+         count(*) OVER (PARTITION BY coalesce(project_id, 'default'), date) AS n,
+         coalesce(sum(size_bytes + 4096) OVER (PARTITION BY coalesce(project_id, 'default'), date ORDER BY size_bytes DESC, rel ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead
   FROM ranked WHERE rn = 1 AND action_type = 'add' AND size_bytes < 32768)"""
 
 SQL = {
@@ -69,6 +95,9 @@ SELECT w.tree, a.node AS ancestor, count(*) AS descendants, max(w.depth - a.dept
 FROM (SELECT tree, depth, unnest(string_split(path, '/')) AS up, node FROM walk) w
 JOIN walk a ON a.tree = w.tree AND a.node = w.up
 WHERE w.node <> a.node GROUP BY w.tree, a.node""",
+    "p3_hierarchy": _WHOLE_TREE,
+    "p3_joined": _WHOLE_TREE,
+    "p4_watermarked": _WATERMARKED,
     "p4_found": _FATES + " SELECT msg_id AS id, period FROM fates WHERE fate = 'correction'",
     "p4_hourly": _FATES + """
 SELECT period, count(*) FILTER (fate = 'on_time') AS published_n,
@@ -83,6 +112,6 @@ FROM fates WHERE fate <> 'unknown' GROUP BY period""",
     "p7_plan": LIVE + """
 SELECT project_id, date, count(*) AS files_before, CAST(sum(size_bytes) AS BIGINT) AS bytes,
        CAST(sum(num_records) AS BIGINT) AS known_records, count(*) FILTER (num_records IS NULL) AS files_without_count,
-       greatest(1, CAST(ceil(sum(size_bytes) / 134217728.0) AS BIGINT)) AS files_after
+       CAST(max(ahead // 134217728) + 1 AS BIGINT) AS files_after
 FROM small WHERE n >= 2 GROUP BY project_id, date""",
 }

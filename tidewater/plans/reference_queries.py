@@ -5,16 +5,21 @@ Each entry holds the statement the engine runs and the DuckDB statement with the
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.engine import Engine
+from tidewater.functions import sketches
 from tidewater.functions.ids import tenant
 from tidewater.operators import mor, rollup, small_files
+from tidewater.operators.tiers import TierStore, fingerprint
+from tidewater.plans.checks import ranks_within
 from tidewater.plans.pipeline_sql import LIVE
 from tidewater.schema import GRAINS, change_feed_schema, metrics_rollups, spans_rollups
+from tidewater.session import shared_dir, work_dir
 from tidewater.sources.tables import table
 
 SPANS = "otel_logs_and_spans"
@@ -22,8 +27,8 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 
 def engine(spark: SparkSession, d: str, text: str | None = None) -> Engine:
-    """The tables that a statement names, or all, as views; direct percentiles exact, as the SQL they are compared with."""
-    e = Engine(spark, exact=True)
+    """The tables that a statement names, or all, as views."""
+    e = Engine(spark)
     for name in TABLES:
         if text is None or name in text:
             e.register(name, table(spark, d, name))
@@ -43,7 +48,9 @@ _T1H = "extract(epoch from time_bucket('1 hour', timestamp))::bigint"
 _RESOLVED = """(SELECT * EXCLUDE rn FROM (SELECT *, row_number() OVER (PARTITION BY coalesce(project_id, 'default'), date, timestamp, id
   ORDER BY updated_at DESC NULLS LAST, coalesce(deleted, false) DESC) AS rn FROM mor_versioned) WHERE rn = 1 AND NOT coalesce(deleted, false))"""
 
-#: name -> (statement of the engine, statement of DuckDB or None if it is the same)
+#: Stands where SQL has no equal: the results of sketches are held against exact ones by queries of their own.
+NO_SQL = ""
+#: name -> (statement of the engine, statement of DuckDB, None if it is the same, or NO_SQL)
 STATEMENTS: dict[str, tuple[str, str | None]] = {
     # time buckets and dashboards
     "throughput_bucket": (f"SELECT {_T5} AS t, count(*)::float AS n FROM {SPANS} GROUP BY time_bucket('5 minutes', timestamp)", f"SELECT {_bucket(300)} AS t, count(*)::DOUBLE AS n FROM {SPANS} GROUP BY 1"),
@@ -64,13 +71,10 @@ STATEMENTS: dict[str, tuple[str, str | None]] = {
     "facets": (f"SELECT (\"resource___service___name\")::text AS value, COUNT(*)::bigint AS n FROM public.{SPANS} WHERE (\"resource___service___name\") IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50", f"SELECT resource___service___name AS value, COUNT(*) AS n FROM {SPANS} WHERE resource___service___name IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50"),
     "distinct_picker": (f"SELECT DISTINCT resource___service___name AS service FROM {SPANS} WHERE resource___service___name IS NOT NULL", None),
     "cross_project_picker": (f"SELECT DISTINCT project_id FROM {SPANS} WHERE kind IN ('server', 'client', 'producer', 'consumer')", None),
-    "pctl_bucket": (
-        f"SELECT {_T1H} AS t, ROUND(COALESCE(approx_percentile(0.95, percentile_agg(CAST(duration AS DOUBLE PRECISION))), 0)::float / 1000000, 4) AS p95 FROM {SPANS} WHERE duration IS NOT NULL GROUP BY time_bucket('1 hour', timestamp)",
-        f"SELECT {_bucket(3600)} AS t, ROUND(COALESCE(quantile_cont(CAST(duration AS DOUBLE), 0.95), 0) / 1000000, 4) AS p95 FROM {SPANS} WHERE duration IS NOT NULL GROUP BY 1",
-    ),
+    "pctl_bucket": (f"SELECT {_T1H} AS t, ROUND(COALESCE(approx_percentile(0.95, percentile_agg(CAST(duration AS DOUBLE PRECISION))), 0)::float / 1000000, 4) AS p95 FROM {SPANS} WHERE duration IS NOT NULL GROUP BY time_bucket('1 hour', timestamp)", NO_SQL),
     "pctl_array_unnest": (
-        f"SELECT s.service, ROUND(u.p, 1) AS p FROM (SELECT resource___service___name AS service, ARRAY[approx_percentile(0.5, percentile_agg(duration)), approx_percentile(0.9, percentile_agg(duration))] AS ps FROM {SPANS} WHERE duration IS NOT NULL GROUP BY 1) AS s CROSS JOIN LATERAL unnest(s.ps) AS u(p)",
-        f"SELECT service, unnest([ROUND(quantile_cont(duration::DOUBLE, 0.5), 1), ROUND(quantile_cont(duration::DOUBLE, 0.9), 1)]) AS p FROM (SELECT resource___service___name AS service, duration FROM {SPANS} WHERE duration IS NOT NULL) GROUP BY service",
+        f"SELECT s.service, u.p FROM (SELECT resource___service___name AS service, ARRAY[approx_percentile(0.5, percentile_agg(duration)), approx_percentile(0.9, percentile_agg(duration))] AS ps FROM {SPANS} WHERE duration IS NOT NULL GROUP BY 1) AS s CROSS JOIN LATERAL unnest(s.ps) AS u(p)",
+        NO_SQL,
     ),
     "percentile_cont": ("SELECT event_type, round(percentile_cont(0.25) WITHIN GROUP (ORDER BY value), 6) AS q FROM events GROUP BY event_type", "SELECT event_type, round(quantile_cont(value, 0.25), 6) AS q FROM events GROUP BY event_type"),
     "log_list_topk": (f"SELECT id, extract(epoch from timestamp) AS t, name FROM {SPANS} ORDER BY timestamp DESC, id LIMIT 251", f"SELECT id, epoch_us(timestamp) / 1e6 AS t, name FROM {SPANS} ORDER BY timestamp DESC, id, name DESC LIMIT 251"),
@@ -84,8 +88,8 @@ STATEMENTS: dict[str, tuple[str, str | None]] = {
     "total_rows_companion": ("SELECT event_type, count(*) AS n, count(*) OVER () AS groups FROM events GROUP BY event_type", None),
     # distinct counts
     "dcount_exact": (f"SELECT kind, COUNT(DISTINCT context___trace_id) AS n FROM {SPANS} GROUP BY kind", None),
-    "dcount_sketch": (f"SELECT distinct_count(approx_count_distinct(kind)) AS kinds, distinct_count(approx_count_distinct(status_code)) AS codes FROM {SPANS}", f"SELECT count(DISTINCT kind) AS kinds, count(DISTINCT status_code) AS codes FROM {SPANS}"),
-    "dcount_merge": ("SELECT hll_count(hll_merge(s)) AS n FROM (SELECT event_type, hll_agg(user_id % 50) AS s FROM events GROUP BY event_type) AS x", "SELECT count(DISTINCT user_id % 50) AS n FROM events"),
+    "dcount_sketch": (f"SELECT date, distinct_count(approx_count_distinct(context___trace_id)) AS traces, distinct_count(hll_agg(id)) AS ids FROM {SPANS} GROUP BY date", NO_SQL),
+    "dcount_merge": ("SELECT hll_count(hll_merge(s)) AS types, hll_count(hll_merge(u)) AS flags FROM (SELECT event_type, hll_agg(event_type) AS s, hll_agg(value > 50) AS u FROM events GROUP BY event_type) AS x", "SELECT count(DISTINCT event_type) AS types, count(DISTINCT value > 50) AS flags FROM events"),
     # aggregates, grouping, HAVING
     "aggregates": ("SELECT l_returnflag, count(*) AS n, count(l_tax) AS c, round(sum(l_quantity), 2) AS s, round(avg(l_discount), 6) AS a, min(l_shipdate)::text AS lo, max(l_extendedprice) AS hi FROM lineitem GROUP BY l_returnflag", "SELECT l_returnflag, count(*) AS n, count(l_tax) AS c, round(sum(l_quantity), 2) AS s, round(avg(l_discount), 6) AS a, min(l_shipdate)::VARCHAR AS lo, max(l_extendedprice) AS hi FROM lineitem GROUP BY 1"),
     "median_stddev": ("SELECT event_type, round(median(value), 6) AS m, round(stddev(value), 6) AS s FROM events GROUP BY event_type", None),
@@ -111,7 +115,7 @@ STATEMENTS: dict[str, tuple[str, str | None]] = {
     "exists_in_select": ("SELECT c_custkey, EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) AS has, NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000) AS small FROM customer", None),
     "derived_aliases": ("SELECT t.a, t.b FROM (SELECT n_name, n_regionkey FROM nation) AS t(a, b) WHERE t.b = 2", None),
     "null_order": (f"SELECT level FROM (SELECT DISTINCT level FROM {SPANS}) AS x ORDER BY level DESC LIMIT 2", f"SELECT level FROM (SELECT DISTINCT level FROM {SPANS}) AS x ORDER BY level DESC NULLS FIRST LIMIT 2"),
-    "hash_bucket_range": (f"SELECT count(*) AS n, bool_and(b >= 0 AND b < 16) AS inside FROM (SELECT hash_bucket(name, 16) AS b FROM {SPANS}) AS x", f"SELECT count(*) AS n, true AS inside FROM {SPANS}"),
+    "hash_bucket_range": (f"SELECT hash_bucket(name, 16) AS b, count(*) AS n FROM {SPANS} GROUP BY 1", f"SELECT CAST('0x' || left(md5(coalesce(name, '')), 15) AS BIGINT) % 16 AS b, count(*) AS n FROM {SPANS} GROUP BY 1"),
     "text_match": ("SELECT doc_id FROM documents WHERE text_match(text, 'write BUFFER*')", "SELECT doc_id FROM documents WHERE contains(lower(text), 'write') AND contains(lower(text), 'buffer')"),
     # time functions
     "to_char_fmt": (f"SELECT id, to_char(timestamp, 'YYYY-MM-DD HH24:MI:SS.MS') AS a, to_char(timestamp, 'Mon DD, YY HH12:MI') AS b, to_char(timestamp, 'Day \"day\" Dy Month') AS c FROM {SPANS}", f"SELECT id, strftime(timestamp AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S.%g') AS a, strftime(timestamp AT TIME ZONE 'UTC', '%b %d, %y %I:%M') AS b, strftime(timestamp AT TIME ZONE 'UTC', '%A day %a %B') AS c FROM {SPANS}"),
@@ -188,26 +192,53 @@ ASKS = (rollup.Ask("n", "count"), rollup.Ask("errors", "count", None, spans_roll
 
 
 def _hourly(**more) -> rollup.AggregateQuery:
-    return rollup.AggregateQuery(ASKS, bucket=3600, group=("resource___service___name",), by_project=False, **more)
-
-
-def _tiers(spark: SparkSession, d: str, ranges: list[tuple[int, int]]) -> list[rollup.Tier]:
-    raw = _spans(spark, d)
-    fine, coarse = spans_rollups()
-    minutes = rollup.build(raw, fine)
-    return [rollup.Tier(fine, minutes, rollup.Coverage(list(ranges))), rollup.Tier(coarse, rollup.derive(minutes, coarse), rollup.Coverage(list(ranges)))]
+    return rollup.AggregateQuery(ASKS, bucket=3600, group=("resource___service___name",), all_projects=True, **more)
 
 
 _DAY = 86_400_000_000
 _FIRST = 1_672_617_600_000_000  # 2023-01-02
 
 
+def _stored(spark: SparkSession, d: str) -> TierStore:
+    """The tiers of the span table below the shared folder: built by the first query that asks, found there by the others."""
+    source = f"{d}/{SPANS}.parquet"
+    raw = _spans(spark, d)
+    store = TierStore(spark, f"{shared_dir(spark)}/tidewater-tiers-{hashlib.md5(source.encode()).hexdigest()}", spans_rollups(), raw.schema)
+    mark = fingerprint(spark, source)
+    if store.source() != mark:
+        store.build(raw, mark)
+    return store
+
+
 def _routed(spark: SparkSession, d: str, start: int, end: int, ranges: list[tuple[int, int]]) -> DataFrame:
-    projects = tuple(r[0] for r in _spans(spark, d).select("project_id").distinct().collect())  # 150 at any scale
-    df, _ = rollup.answer(_hourly(start=start, end=end, projects=projects), _spans(spark, d), _tiers(spark, d, ranges))
+    tiers = [rollup.Tier(t.spec, t.data, rollup.Coverage(ranges)) for t in _stored(spark, d).tiers()]
+    df, _ = rollup.answer(_hourly(start=start, end=end), _spans(spark, d), tiers)
     return df.select((F.col("time") / 1_000_000).cast("long").alias("t"), F.col("resource___service___name").alias("service"), "n", "errors", "s", F.round("a", 3).alias("a"))
 
 
+def rollup_store(spark: SparkSession, d: str) -> DataFrame:
+    """The stored tiers: per tier and date their rows and what they count."""
+    store = _stored(spark, d)
+    legs = [t.data.groupBy(F.lit(t.spec.name).alias("tier"), "date").agg(F.count("*").alias("states"), F.sum("request_count").alias("n"), F.sum("duration_sum").alias("s")) for t in store.tiers()]
+    return legs[0].unionByName(legs[1])
+
+
+_DASHBOARD = f"""SELECT project_id, {_T1H} AS t, COALESCE(resource___service___name, 'none') AS service, count(*)::float AS n, ROUND(COUNT(*) FILTER (WHERE {ERR})::float * 100.0 / count(*)::float, 2) AS rate, max(duration) AS slowest
+FROM {SPANS} WHERE timestamp >= '2023-01-02T06:30:00Z' AND timestamp < '2023-01-09T00:10:00Z' AND kind = 'server' GROUP BY 1, 2, 3 HAVING count(*) > 1"""
+
+
+def rollup_sql(spark: SparkSession, d: str) -> DataFrame:
+    """A dashboard's plain SELECT: whole hours from the stored tier, the ragged ends from raw rows."""
+    e = Engine(spark)
+    e.register(SPANS, _spans(spark, d))
+    store = _stored(spark, d)
+    e.stored_tiers[SPANS], e.tiers[SPANS] = store, store.tiers()
+    df = e.sql(_DASHBOARD)
+    if e.stats["rollup_hybrid"] != 1:
+        raise RuntimeError(f"not answered from the tier: {dict(e.stats)} {e.last_miss}")
+    return df
+
+
 def rollup_routed(spark: SparkSession, d: str) -> DataFrame:
     """Whole hours, all of them in the coarse tier."""
     return _routed(spark, d, _FIRST, _FIRST + 10 * _DAY, [(_FIRST - _DAY, _FIRST + 11 * _DAY)])
@@ -256,6 +287,59 @@ def exact_duplicates(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, SPANS).select("timestamp", "id").dropDuplicates(["timestamp", "id"]).groupBy(F.to_date("timestamp").alias("day")).agg(F.count("*").alias("n"))
 
 
+POINTS = {"p50": 0.5, "p90": 0.9, "p99": 0.99}
+_ASKED = ", ".join(f"approx_percentile({q}, {{0}}) AS {name}" for name, q in POINTS.items())
+
+
+def _durations(spark: SparkSession, d: str, key: str, alias: str) -> DataFrame:
+    return table(spark, d, SPANS).select(F.expr(key).alias(alias), F.col("duration").cast("double").alias("duration"))
+
+
+def pctl_hour_rank(spark: SparkSession, d: str) -> DataFrame:
+    """Percentiles of every hour by percentile_agg, held against all durations: count, and whether each rank is within the error of the sketch."""
+    got = engine(spark, d, SPANS).sql(f"SELECT {_T1H} AS t, {_ASKED.format('percentile_agg(duration)')} FROM {SPANS} WHERE duration IS NOT NULL GROUP BY time_bucket('1 hour', timestamp)")
+    return ranks_within(got, _durations(spark, d, "CAST(unix_micros(timestamp) DIV 3600000000 * 3600 AS BIGINT)", "t"), ["t"], "duration", POINTS, 3 * sketches.RANK_ERROR)
+
+
+def pctl_merge_rank(spark: SparkSession, d: str) -> DataFrame:
+    """Percentiles per service from digests of its days by tdigest_merge, held against all durations."""
+    days = f"SELECT resource___service___name AS service, date, percentile_agg(duration) AS s FROM {SPANS} WHERE duration IS NOT NULL GROUP BY 1, 2"
+    got = engine(spark, d, SPANS).sql(f"SELECT service, {_ASKED.format('tdigest_merge(s)')} FROM ({days}) AS d GROUP BY service")
+    return ranks_within(got, _durations(spark, d, "resource___service___name", "service"), ["service"], "duration", POINTS, 3 * sketches.RANK_ERROR)
+
+
+def pctl_rollup_rank(spark: SparkSession, d: str) -> DataFrame:
+    """Percentiles per service from the digests of the stored hourly tier, held against all durations."""
+    q = rollup.AggregateQuery(tuple(rollup.Ask(name, "percentile", "duration", p=p) for name, p in POINTS.items()), start=_FIRST - 300 * _DAY, end=_FIRST + 300 * _DAY, by_project=True, group=("resource___service___name",))
+    tier = _stored(spark, d).tiers()[1]
+    one = rollup.answer(q, _spans(spark, d), [tier])[0].select("project_id", F.col("resource___service___name").alias("service"), *POINTS)
+    rows = _spans(spark, d).select("project_id", F.col("resource___service___name").alias("service"), F.col("duration").cast("double").alias("duration"))
+    return ranks_within(one, rows, ["project_id", "service"], "duration", POINTS, 3 * sketches.RANK_ERROR)
+
+
+def dcount_error(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct trace ids and message ids of every day by hll_agg, and of all days by hll_merge, against exact counts: these, and whether the sketch is within 4 standard errors."""
+    e = engine(spark, d, SPANS)
+    days = e.sql(f"SELECT date, hll_agg(context___trace_id) AS t, hll_agg(id) AS i FROM {SPANS} GROUP BY date")
+    days.createOrReplaceTempView("dcount_days")
+    got = e.sql("SELECT date, hll_count(t) AS t, hll_count(i) AS i FROM dcount_days UNION ALL SELECT NULL, hll_count(hll_merge(t)), hll_count(hll_merge(i)) FROM dcount_days")
+    exact = table(spark, d, SPANS).groupingSets([[F.col("date")], []], "date").agg(F.count_distinct("context___trace_id").alias("traces"), F.count_distinct("id").alias("ids"))
+    off = lambda a, b: (F.abs(F.col(a) / F.col(b) - 1) <= 4 * sketches.HLL_ERROR).alias(f"{b}_within")
+    return exact.join(got.withColumnRenamed("date", "day"), F.col("date").eqNullSafe(F.col("day"))).select("date", "traces", "ids", off("t", "traces"), off("i", "ids"))
+
+
+def mor_update_from(spark: SparkSession, d: str) -> DataFrame:
+    """The change feed as a stored table, after an UPDATE ... FROM, an UPDATE and a DELETE of one project."""
+    e = engine(spark, d, "mor_versioned")
+    schema = change_feed_schema()
+    kept = e.create("mor_stored", work_dir(spark, "stored"), schema)
+    kept.store.replace(mor.normalize(table(spark, d, "mor_versioned"), schema).hint("rebalance", F.col("project_id"), F.col("date")))
+    e._show("mor_stored")
+    e.execute("UPDATE mor_stored AS m SET name = s.v FROM (SELECT id AS k, count(*) AS n, max(name) || ' and t.name' AS v FROM mor_versioned__all GROUP BY id) AS s WHERE m.id = s.k AND (m.name <> 'x and y' OR m.name IS NULL) AND s.n BETWEEN 2 AND 5 AND project_id = 'default'")
+    e.execute("DELETE FROM mor_stored WHERE project_id = $1 AND name LIKE $2", "default", "%e and t.name")
+    return e.sql("SELECT project_id, id, name, extract(epoch from timestamp) AS t FROM mor_stored")
+
+
 def count_from_log(spark: SparkSession, d: str) -> DataFrame:
     return small_files.counts_from_log(table(spark, d, "file_actions"))
 
@@ -267,7 +351,7 @@ def retried_bins(spark: SparkSession, d: str) -> DataFrame:
     return many.groupBy((t - F.pmod(t, F.lit(600_000_000))).alias("bin")).agg(F.count("*").alias("keys"), F.sum(F.col("count") - 1).alias("surplus"))
 
 
-PLANS = {f.__name__: f for f in (count_from_log, retried_bins, rollup_1m, rollup_1h_from_1m, rollup_refresh, rollup_routed, rollup_hybrid, metrics_rollup, flush_dedup, exact_duplicates)}
+PLANS = {f.__name__: f for f in (pctl_hour_rank, pctl_merge_rank, pctl_rollup_rank, dcount_error, mor_update_from, rollup_store, rollup_sql, count_from_log, retried_bins, rollup_1m, rollup_1h_from_1m, rollup_refresh, rollup_routed, rollup_hybrid, metrics_rollup, flush_dedup, exact_duplicates)}
 
 
 def _tier_sql(grain: str, raw: str = SPANS) -> str:
@@ -277,16 +361,36 @@ def _tier_sql(grain: str, raw: str = SPANS) -> str:
   max(duration) AS duration_max FROM {raw} GROUP BY ALL"""
 
 
+def _store_sql() -> str:
+    return " UNION ALL ".join(_TIER_ROWS.format(tier=f"dashboard_{g}", rows=_tier_sql(g)) for g in ("1m", "1h"))
+
+
 def _hourly_sql(start: int, end: int) -> str:
     return f"""SELECT {_bucket(3600)} AS t, resource___service___name AS service, count(*) AS n, count(*) FILTER ({ERR}) AS errors, CAST(sum(duration) AS BIGINT) AS s,
   round(avg(duration), 3) AS a FROM {SPANS} WHERE epoch_us(timestamp) >= {start} AND epoch_us(timestamp) < {end} GROUP BY 1, 2"""
 
 
+_TIER_ROWS = "SELECT '{tier}' AS tier, date, count(*) AS states, CAST(sum(n) AS BIGINT) AS n, CAST(sum(s) AS BIGINT) AS s FROM (SELECT CAST(make_timestamp(t * 1000000) AS DATE) AS date, request_count AS n, duration_sum AS s FROM ({rows})) GROUP BY date"
+_WITHIN = ", ".join(f"true AS {name}_within" for name in POINTS)
+_FEED = "(SELECT * REPLACE (coalesce(project_id, 'default') AS project_id) FROM mor_versioned)"
+
 PLAN_SQL = {
+    "pctl_hour_rank": f"SELECT {_bucket(3600)} AS t, count(*) AS n, {_WITHIN} FROM {SPANS} WHERE duration IS NOT NULL GROUP BY 1",
+    "pctl_merge_rank": f"SELECT resource___service___name AS service, count(*) AS n, {_WITHIN} FROM {SPANS} WHERE duration IS NOT NULL GROUP BY 1",
+    "pctl_rollup_rank": f"SELECT coalesce(project_id, 'default') AS project_id, resource___service___name AS service, count(*) AS n, {_WITHIN} FROM {SPANS} WHERE duration IS NOT NULL GROUP BY 1, 2",
+    "dcount_error": f"SELECT date, count(DISTINCT context___trace_id) AS traces, count(DISTINCT id) AS ids, true AS traces_within, true AS ids_within FROM {SPANS} GROUP BY GROUPING SETS ((date), ())",
+    "mor_update_from": f"""WITH feed AS {_FEED}, current AS {_RESOLVED.replace("FROM mor_versioned", "FROM feed")},
+s AS (SELECT id AS k, count(*) AS n, max(name) || ' and t.name' AS v FROM feed GROUP BY id),
+updated AS (SELECT c.project_id, c.id, c.timestamp, CASE WHEN c.project_id = 'default' AND s.n BETWEEN 2 AND 5 AND (c.name <> 'x and y' OR c.name IS NULL) THEN s.v ELSE c.name END AS name FROM current c JOIN s ON s.k = c.id)
+SELECT project_id, id, name, epoch_us(timestamp) / 1e6 AS t FROM updated WHERE NOT (project_id = 'default' AND coalesce(name LIKE '%e and t.name', false))""",
     "count_from_log": LIVE + """ SELECT coalesce(project_id, 'default') AS project_id, date, CASE WHEN count(*) = count(num_records) THEN CAST(sum(num_records) AS BIGINT) END AS n, count(*) AS files
 FROM ranked WHERE rn = 1 AND action_type = 'add' GROUP BY ALL""",
     "retried_bins": f"SELECT bin, count(*) AS keys, CAST(sum(n - 1) AS BIGINT) AS surplus FROM (SELECT epoch_us(timestamp) - epoch_us(timestamp) % 600000000 AS bin, count(*) AS n FROM {SPANS} GROUP BY timestamp, id HAVING count(*) > 1) GROUP BY bin",
     "rollup_1m": _tier_sql("1m"), "rollup_1h_from_1m": _tier_sql("1h"), "rollup_refresh": _tier_sql("1m"),
+    "rollup_store": _store_sql(),
+    "rollup_sql": f"""SELECT coalesce(project_id, 'default') AS project_id, {_bucket(3600)} AS t, coalesce(resource___service___name, 'none') AS service, count(*)::DOUBLE AS n,
+  ROUND(count(*) FILTER ({ERR})::DOUBLE * 100.0 / count(*)::DOUBLE, 2) AS rate, max(duration) AS slowest FROM {SPANS}
+  WHERE timestamp >= TIMESTAMPTZ '2023-01-02 06:30:00+00' AND timestamp < TIMESTAMPTZ '2023-01-09 00:10:00+00' AND kind = 'server' GROUP BY 1, 2, 3 HAVING count(*) > 1""",
     "rollup_routed": _hourly_sql(_FIRST, _FIRST + 10 * _DAY), "rollup_hybrid": _hourly_sql(_FIRST + 1_234_567, _FIRST + 5 * _DAY + 98_765_432),
     "metrics_rollup": f"SELECT {_bucket(3600)} AS t, coalesce(project_id, 'default') AS project_id, metric_name, resource___service___name, count(*) AS point_count, count(value) AS value_count FROM otel_metrics GROUP BY ALL",
     "flush_dedup": f"SELECT id, epoch_us(timestamp) AS t, max(epoch_us(updated_at)) AS v FROM {SPANS} GROUP BY id, timestamp",
@@ -294,4 +398,4 @@ FROM ranked WHERE rn = 1 AND action_type = 'add' GROUP BY ALL""",
 }
 
 QUERIES = {**{name: _statement(text) for name, (text, _) in STATEMENTS.items()}, **PLANS}
-SQL = {**{name: other or text for name, (text, other) in STATEMENTS.items()}, **PLAN_SQL}
+SQL = {**{name: text if other is None else other for name, (text, other) in STATEMENTS.items() if other != NO_SQL}, **PLAN_SQL}
