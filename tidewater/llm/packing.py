@@ -1,8 +1,9 @@
-"""Filling fixed-capacity containers with texts: best fit, that is longest pack first, over the histogram of lengths.
+"""Filling fixed-capacity containers with texts: shortest pack first over the histogram of lengths.
 
-Only the histogram reaches the driver: at most CAPACITY counts. Lengths are placed longest first; each goes to
-the open packs with the least room that still takes it, and packs are kept as patterns with counts, never one by one. The patterns are then joined back to the texts by
-their rank among those of equal length.
+Only the histogram reaches the driver: at most CAPACITY counts. Lengths are placed longest first; each item goes to
+the shortest open pack, the one with most room, and packs are kept as patterns with counts, never one by one. Items that fit
+no open pack open new ones, as many in each as it takes, or a corpus of equal lengths would fill a pack with one. The
+patterns are then joined back to the texts by their rank among those of equal length.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -20,8 +22,8 @@ from pyspark.sql import functions as F
 from tidewater.session import c, materialize
 
 CAPACITY = 2_048
-#: Hash parts in which texts of equal length are ranked, so that a length a third of all texts have is not one task's.
-RANK_PARTS = 256
+#: Texts of equal length that are ranked by one task, about: the most frequent length is cut by hash into parts of that size.
+RANKED_TOGETHER = 500_000
 
 
 @dataclass
@@ -36,26 +38,27 @@ class Slots:
 
 def patterns(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[tuple[int, int], ...], int]]:
     """[(((length, times), ...), number of packs)]: a packing of `histogram`, length -> count."""
-    open_: dict[int, dict[tuple[tuple[int, int], ...], int]] = defaultdict(dict)  # room -> pattern -> packs
+    open_: dict[int, dict[tuple[tuple[int, int], ...], int]] = {}  # room -> pattern -> packs
     for length in sorted(histogram, reverse=True):
         left = histogram[length]
-        room = length
-        while left and room <= capacity:
-            shelf = open_.get(room)
+        rooms = [-r for r in open_ if r >= length]  # a heap: the greatest room first
+        heapify(rooms)
+        while left and rooms:
+            room = -heappop(rooms)
+            shelf = open_.pop(room, {})
             while left and shelf:
                 pattern, packs = shelf.popitem()
-                fit = room // length
-                full = min(packs, left // fit)
-                rest = packs - full
-                if full:
-                    _put(open_, (*pattern, (length, fit)), room - fit * length, full)
-                    left -= full * fit
-                if rest and left:  # fewer than `fit` are left
-                    _put(open_, (*pattern, (length, left)), room - left * length, 1)
-                    left, rest = 0, rest - 1
-                if rest:
-                    _put(open_, pattern, room, rest)
-            room += 1
+                used = min(packs, left)
+                again = pattern and pattern[-1][0] == length
+                wider = (*pattern[:-1], (length, pattern[-1][1] + 1)) if again else (*pattern, (length, 1))
+                if room - length >= length and room - length not in open_:
+                    heappush(rooms, length - room)
+                _put(open_, wider, room - length, used)
+                left -= used
+                if packs > used:
+                    shelf[pattern] = packs - used
+            if shelf:
+                open_[room] = shelf
         if left:
             fit = capacity // length
             if left // fit:
@@ -66,7 +69,8 @@ def patterns(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[
 
 
 def _put(shelves: dict, pattern: tuple, room: int, packs: int) -> None:
-    shelves[room][pattern] = shelves[room].get(pattern, 0) + packs
+    shelf = shelves.setdefault(room, {})
+    shelf[pattern] = shelf.get(pattern, 0) + packs
 
 
 def slots(packing: list[tuple[tuple[tuple[int, int], ...], int]]) -> dict[int, Slots]:
@@ -99,12 +103,15 @@ def pack(sizes: DataFrame, key: str, size: str, capacity: int = CAPACITY) -> Dat
     """
     kind = dict(sizes.dtypes)[key]
     n = F.greatest(F.coalesce(c(size).cast("long"), F.lit(0)), F.lit(0))
-    items = materialize(sizes.select(c(key).alias("k"), n.alias("n"), F.pmod(F.xxhash64(c(key).cast("string"), F.spark_partition_id()), F.lit(RANK_PARTS)).cast("int").alias("part")))
+    items = materialize(sizes.select(c(key).alias("k"), n.alias("n"), F.xxhash64(c(key).cast("string"), F.monotonically_increasing_id()).alias("h")))
     whole = (F.col("n") / capacity).cast("long")
     rest = F.col("n") - whole * capacity
+    found = items.select(rest.cast("int").alias("rest"), (whole > 0).alias("split")).groupBy("rest").agg(F.count("*").alias("n"), F.count_if("split").alias("split")).collect()
+    counted = {r["rest"]: r["n"] for r in found if r["rest"] > 0}
+    parts = -(-max([1, *counted.values(), sum(r["split"] for r in found)]) // RANKED_TOGETHER)
+    items = items.withColumn("part", F.pmod("h", F.lit(parts)).cast("int"))
     rests = items.select("k", whole.cast("int").alias("piece"), rest.cast("int").alias("n_tokens"), "part").where("n_tokens > 0")
     per_part = rests.groupBy("n_tokens", "part").count()
-    counted = {r["n_tokens"]: r["n"] for r in per_part.groupBy("n_tokens").agg(F.sum("count").alias("n")).collect()}
     packing = patterns(counted, capacity)
     place = {k: tuple(np.array(x, dtype=np.int64) for x in (s.start, s.each, s.first, s.at)) for k, s in slots(packing).items()}
     used = sum(packs for _, packs in packing)
@@ -127,7 +134,7 @@ def pack(sizes: DataFrame, key: str, size: str, capacity: int = CAPACITY) -> Dat
             yield pd.DataFrame({"k": b["k"], "piece": b["piece"], "container": container, "start": start, "n_tokens": b["n_tokens"]})
 
     placed = ranked.mapInPandas(assign, f"k {kind}, piece int, container long, start int, n_tokens int")
-    # full pieces: one container each, numbered per part after those of the patterns
+    # full pieces: one container each, numbered per input part after those of the patterns
     whole_items = items.select("k", whole.alias("w"), "part").where("w > 0")
     totals = whole_items.groupBy("part").agg(F.sum("w").alias("t"))
     ahead = totals.withColumn("ahead", F.sum("t").over(W.orderBy("part")) - F.col("t")).drop("t")

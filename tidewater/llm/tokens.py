@@ -28,6 +28,7 @@ BATCH_BYTES = 4_000_000
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
+    """Where this machine has the public vocabulary."""
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -137,11 +138,10 @@ def encode_column(df: DataFrame, key: str, text: str, path: str | None = None) -
 
     Null and empty texts give an empty list; every other text is encoded whole, however long.
     """
-    where = path or vocabulary_path()
     kind = dict(df.dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(where)
+        enc = encoder(path or vocabulary_path())  # found where the worker has it
         for whole in batches:
             for b in _slices(whole):
                 yield pa.RecordBatch.from_arrays([b.column(0), enc.encode_lists(b.column(1))], ["k", "ids"])
@@ -152,11 +152,10 @@ def encode_column(df: DataFrame, key: str, text: str, path: str | None = None) -
 
 def count_column(df: DataFrame, key: str, text: str, path: str | None = None) -> DataFrame:
     """(key, n_tokens int) of every row; null and empty texts have none."""
-    where = path or vocabulary_path()
     kind = dict(df.dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(where)
+        enc = encoder(path or vocabulary_path())  # found where the worker has it
         for whole in batches:
             for b in _slices(whole):
                 sizes = pa.array(enc.encode_sizes(b.column(1)), pa.int32())
