@@ -4,6 +4,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
+from tidewater.operators import hierarchy
 from tidewater.operators.hierarchy import descendant_counts, descendants, hierarchies
 
 SCHEMA = "tree string, node string, parent string, note string, depth int"
@@ -117,5 +118,14 @@ def test_descendants_of_random_links(spark, links):
     assert {(r.tree, r.node): (r.descendants, r.height) for r in got} == brute_counts(rows) and len(got) == len(brute_counts(rows))
 
 
+@pytest.mark.parametrize("limit", [10_000, 0])
+def test_a_deep_chain_keeps_its_paths_in_bounded_pieces(spark, monkeypatch, limit):
+    monkeypatch.setattr(hierarchy, "PATH_ELEMENTS", 500)
+    n = 1_500 if limit else 150
+    rows = [("t", f"{i:05d}", f"{i - 1:05d}" if i else None, "", 0) for i in range(n)]
+    got = {r.node: r for r in hierarchies(spark.createDataFrame(rows, SCHEMA), with_path=True, tree_limit=limit).collect()}
+    assert len(got) == n and all(r.depth == int(k) and r.root == "00000" and r.path == [f"{i:05d}" for i in range(r.depth + 1)] for k, r in got.items())
+
+
 def test_empty(spark):
     assert hierarchies(spark.createDataFrame([], SCHEMA)).count() == 0

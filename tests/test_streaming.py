@@ -53,6 +53,11 @@ def test_late_aggregator(spark, tmp_path):
     ten = got[10]
     assert (ten.published_n, ten.published_sum, ten.corrections, ten.correction_sum, ten.diverted_n, ten.closed) == (3, 11.0, 1, 32.0, 1, True)
     assert (got[11].published_n, got[11].closed) == (2, False)
+    odd = [("a", 10 * H, 99 * H, 128), ("a", 30 * H, None, 256), (None, None, 5, 512)]
+    agg.batch(spark.createDataFrame(odd, schema), 4)
+    assert sorted((r.value, r.fate) for r in agg.side(4).collect()) == [(128.0, "diverted"), (256.0, "unknown"), (512.0, "unknown")]
+    last = {r.period_us // H: r for r in agg.periods(4).collect()}
+    assert (last[10].diverted_n, last[10].diverted_sum - (ten.diverted_sum or 0)) == (2, 128.0) and (last[30].unknown_n, last[30].unknown_sum, last[30].published_n) == (1, 256.0, 0)
     stream = drop_files(spark, str(tmp_path / "in"), schema, *batches[:2])
     again = LateAggregator(spark, str(tmp_path / "state2"), rule)
     again.start(stream, str(tmp_path / "cp"), once=True).awaitTermination()
