@@ -6,7 +6,7 @@ lines. A hidden Markov model with the states prose, record, link list, tag list
 is flagged when lines of the last three hold more than a given share of its text. Records are what logs,
 settings, code and tables consist of; they are no prose, but no lists put there to be found either.
 
-The model is trained on a bounded sample of documents, by hard EM from plain seeds; labels of pages only place the
+The model is trained on a bounded sample of labelled documents, by hard EM from plain seeds; the labels themselves only place the
 threshold. Everything else covers every document whole.
 """
 
@@ -23,16 +23,16 @@ from itertools import repeat
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewater.session import c
 
 STATES = ("prose", "record", "links", "tags", "menu")
 LISTS = (2, 3, 4)
-#: Documents the model is trained on, at most, those with labels first, and the labels read for it.
-SAMPLE_DOCUMENTS = 4_000
-#: Longest text taken into the sample, so that it fits the driver; classification has no such bound.
-SAMPLE_CHARS = 20_000
+#: Labelled documents the model is trained on, at most, and the characters they have together, at most; whole texts, in the
+#: order of a hash of their keys. Classification has no such bound.
+SAMPLE_DOCUMENTS, SAMPLE_CHARS = 4_000, 64_000_000
 PART_WORDS, LONGEST_PART = 14, 36
 EM_ROUNDS = 5
 #: Weight of a uniform emission in every state, so that no single feature rules a state out.
@@ -41,7 +41,6 @@ FLOOR = 0.003
 TEMPER = 0.6
 #: Share of list text above which a page is flagged, where labels don't place it.
 THRESHOLD = 0.5
-MIN_LABELS = 200
 
 ZERO_WIDTH = re.compile("[\u200b\u200c\u200d\u2060\ufeff\u00ad]")
 ZERO_WIDTH_LETTERS = re.compile("(?:\\w\u200b){3}")
@@ -279,32 +278,42 @@ class LineModel:
         self.flat = TEMPER * np.concatenate(emit, axis=1).T
 
     def fit(self, texts: list[str], labels: list[float | None]) -> LineModel:
-        """Hard EM from the seeds; then the threshold that agrees with most labels, if there are enough of them."""
+        """Hard EM from the seeds; then the threshold that agrees with most labels, near THRESHOLD unless they weigh against it."""
         pages = [describe(t or "") for t in texts]
         states = [[_seed(p) for p in parts] for parts in pages]
         self._estimate(pages, states)
         for _ in range(EM_ROUNDS):
             states = [self.label(parts) for parts in pages]
             self._estimate(pages, states)
-        known = [(p, y) for p, y in zip(pages, labels) if y is not None and p]
-        if len(known) >= MIN_LABELS:
-            shares = np.array([sum(x.size for x, s in zip(p, self.label(p)) if s in LISTS) / sum(x.size for x in p) for p, _ in known])
-            y = np.array([y > 0.5 for _, y in known])
-            grid = np.linspace(0.4, 0.6, 21)
-            agree = np.array([((shares > t) == y).mean() - 0.02 * abs(t - THRESHOLD) for t in grid])
-            self.threshold = float(grid[agree.argmax()])
+        known = [(p, s, y) for p, s, y in zip(pages, map(self.label, pages), labels) if y is not None and p]
+        shares = np.array([sum(x.size for x, k in zip(p, s) if k in LISTS) / sum(x.size for x in p) for p, s, _ in known])
+        y = np.array([y > 0.5 for *_, y in known], dtype=bool)
+        grid = np.linspace(0.4, 0.6, 21)
+        # a step away from THRESHOLD costs as much as 0.4 % of the labels and one label more
+        agree = np.array([((shares > t) == y).sum() - (0.02 * len(y) + 5) * abs(t - THRESHOLD) for t in grid])
+        self.threshold = float(grid[agree.argmax()])
         return self
 
 
+def sampled(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "spam") -> DataFrame:
+    """(t, y): the bounded sample of labelled documents, whole texts with the mean of their labels.
+
+    Keys and lengths are picked first; only the picked documents' texts move. Null labels and texts without characters
+    are left out.
+    """
+    mean = labels.where(c(label).isNotNull() & c(key).isNotNull()).groupBy(c(key).alias("k")).agg(F.avg(c(label).cast("double")).alias("y"))
+    docs = documents.select(c(key).alias("k"), c(text).alias("t"))
+    lengths = docs.where(F.length("t") > 0).select("k", F.length("t").alias("n")).join(mean, "k").orderBy(F.xxhash64("k"), "k").limit(SAMPLE_DOCUMENTS)
+    upto = F.sum("n").over(W.orderBy(F.xxhash64("k"), "k").rowsBetween(W.unboundedPreceding, 0))
+    picked = lengths.withColumn("upto", upto).where(F.col("upto") <= SAMPLE_CHARS).select("k", "y")
+    return docs.join(picked, "k").orderBy(F.xxhash64("k"), "k", "t").select("t", "y")
+
+
 def train(documents: DataFrame, labels: DataFrame | None, key: str = "doc_id", text: str = "text", label: str = "spam") -> LineModel:
-    """A model from a bounded sample: labelled documents first, then others, by hash of their key."""
-    docs = documents.select(c(key).alias("k"), c(text).alias("t")).where(F.length("t").between(1, SAMPLE_CHARS))
+    """A model from the sample of labelled documents; without any, one that knows nothing and flags nothing."""
     if labels is None:
-        sample = docs.withColumn("y", F.lit(None).cast("double"))
-    else:
-        mean = labels.where(c(label).isNotNull()).groupBy(c(key).alias("k")).agg(F.avg(c(label).cast("double")).alias("y"))
-        sample = docs.join(mean, "k", "left")
-    chosen = sample.orderBy(F.col("y").isNull(), F.xxhash64("k"), "k").limit(SAMPLE_DOCUMENTS).select("t", "y").toPandas()
+        return LineModel().fit([], [])
+    chosen = sampled(documents, labels, key, text, label).toPandas()
     known = [None if pd.isna(y) or y == 0.5 else float(y) for y in chosen["y"]]
     return LineModel().fit(chosen["t"].tolist(), known)
 
