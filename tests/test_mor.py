@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tidewater.engine import Engine
 from tidewater.operators import mor, small_files
 from tidewater.operators.mor import Clock, DmlError, VersionedTable, admitted, flush_dedup
+from tidewater.operators.update_queue import Update, UpdateQueue
 from tidewater.schema import Field, TableSchema, change_feed_schema
 
 T = datetime(2023, 1, 5, 10)
@@ -130,6 +131,42 @@ def test_update_from_with_words_and_ranges_in_its_condition(spark, tmp_path):
     assert [r.operation for r in e.execute("DESCRIBE HISTORY feed").orderBy("version").collect()][:2] == ["insert", "update"]
 
 
+def test_queued_updates_are_folded_and_failing_ones_kept_aside(spark, table):
+    put(spark, table, ("a", "", "p"), ("b", "", "p"))
+    source = lambda *kv: spark.createDataFrame(list(kv), "key string, v string")
+    queue = UpdateQueue(limit=50)
+    grow, fixed = {"name": "concat(t.name, s.v)"}, {"name": "s.v"}
+    for u in (Update(table, "p", source(("a", "1"), ("b", "x")), {"id": "key"}, grow), Update(table, "p", source(("a", "2")), {"id": "key"}, grow), Update(table, "p", source(("b", "B")), {"id": "key"}, fixed), Update(table, "p", source(("b", "!")), {"id": "key"}, grow)):
+        assert queue.add(u) == 0
+    before = table.store.version()
+    assert queue.flush() == 5 and names(table) == [("p", "a", "12"), ("p", "b", "B!")] and table.store.version() == before + 3
+    bad = Update(table, "p", source(("a", "z")), {"id": "key"}, {"id": "s.v"})
+    queue.add(bad)
+    queue.add(Update(table, "p", source(("a", "3")), {"id": "key"}, grow))
+    assert queue.flush() == 1 and names(table)[0] == ("p", "a", "123") and [x[0] for x in queue.quarantined] == [bad] and "immutable" in queue.quarantined[0][1]
+    assert queue.flush() == 0
+
+
+def test_files_are_in_the_declared_order(spark, table):
+    put(spark, table, *[(f"{i % 7}", "x", "pq"[i % 2]) for i in range(40)])
+    assert table.order_violations().count() == 0
+    table.store.replace(table.versions().orderBy(F.col("id").desc()).coalesce(1), operation="unsorted")
+    assert table.order_violations().agg(F.sum("violations")).first()[0] > 0
+
+
+def test_commands(spark, table):
+    from tidewater.__main__ import run
+
+    put(spark, table, ("a", "x", "p"))
+    put(spark, table, ("b", "y", "p"))
+    assert run(spark, ["count", table.path]) == "2" and run(spark, ["optimize", table.path]) == "2 files became 1 in 1 partitions"
+    assert run(spark, ["vacuum", table.path]) == "0 removed" and run(spark, ["vacuum", table.path, "--retain", "0"]) == "2 removed"
+    assert "optimize" in run(spark, ["history", table.path]) and run(spark, ["add-column", table.path, "extra", "int"]) and run(spark, ["count", table.path]) == "2"
+    assert names(table) == [("p", "a", "x"), ("p", "b", "y")]
+    with pytest.raises(FileNotFoundError):
+        run(spark, ["count", table.path + "-none"])
+
+
 def test_keys_with_more_rows_than_one_fold(spark, table, monkeypatch):
     monkeypatch.setattr(mor, "FOLD_ROWS", 3)
     put(spark, table, ("a", "", "p"), ("b", "", "p"))

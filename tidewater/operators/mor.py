@@ -113,7 +113,10 @@ class VersionedTable:
 
     def _order(self) -> list[Column]:
         """Partition columns first, or the writer would sort by them once more and undo the rest."""
-        return [c(x) for x in dict.fromkeys([*self.schema.partitions, *(self.schema.sort or self.schema.dedup_keys)])]
+        return [c(x) for x in self._names()]
+
+    def _names(self) -> list[str]:
+        return list(dict.fromkeys([*self.schema.partitions, *(self.schema.sort or self.schema.dedup_keys)]))
 
     def versions(self) -> DataFrame:
         return self.store.read()
@@ -147,10 +150,11 @@ class VersionedTable:
         ready = stamped.select(*[c(f.name) for f in self.schema.fields])
         ready = ready.hint("rebalance", *[c(p) for p in self.schema.partitions]).sortWithinPartitions(*self._order())
         generation, folders = self.store.replace(ready, append=True, operation=operation)
-        n = seen.get.get("n", 0) or 0
-        if folders and self.on_write:
+        if not folders:  # nothing was written, and of an empty plan nothing was observed
+            return 0
+        if self.on_write:
             self.on_write(self.store.read_generation(generation))
-        return n
+        return seen.get["n"] or 0
 
     def insert(self, rows: DataFrame) -> int:
         """Append rows under one stamp; returns how many passed the admission bound."""
@@ -265,6 +269,14 @@ class VersionedTable:
         live = store.live_rows(current_rows(new, self.schema.tombstone) if self.schema.tombstone else new)
         store.commit("dedup", {f: (r, [generation] if f in written else []) for f, r in refs.items()}, generation, len(written), {f: live.get(f, 0) for f in refs}, n)
 
+    def order_violations(self) -> DataFrame:
+        """(file, violations) of files whose rows are not in the declared order: what a merge that trusted the order would get wrong."""
+        file, row, before = "__file", "__row", "__before"
+        order = F.struct(*[c(x) for x in self._names()])
+        rows = self.versions().select("_metadata.file_path", "_metadata.row_index", order.alias(before)).toDF(file, row, before)
+        last = F.lag(before).over(W.partitionBy(file).orderBy(row))
+        return rows.withColumn("worse", F.coalesce(last > F.col(before), F.lit(False))).where("worse").groupBy(F.col(file).alias("file")).agg(F.count("*").alias("violations"))
+
     def duplicates(self) -> DataFrame:
         """Ten-minute bins that hold more than one version of a key: what a dedup rewrite has to touch."""
         t = F.unix_micros(c(self.schema.time_column).cast("timestamp"))

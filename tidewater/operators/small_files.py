@@ -134,7 +134,7 @@ def _digest(df: DataFrame) -> tuple[int, str]:
 
 
 def packed(store: PartitionStore, session: SparkSession, paths: list[str], size: int, target_bytes: int, schema: T.StructType) -> DataFrame:
-    """Files of one partition read as combined splits of about `target_bytes`: the engine's own packing, and no shuffle."""
+    """Files read as combined splits of about `target_bytes`: the engine's own packing, and no shuffle."""
     return store.scan(paths, session=session, schema=schema).coalesce(max(1, -(-size // target_bytes)))
 
 
@@ -162,8 +162,10 @@ def lay_out(rows: DataFrame, files: DataFrame, store: PartitionStore, key: list[
     store.replace(tasks.drop(n, to), operation="lay out")
 
 
-#: Partitions that are rewritten by one job and committed together.
-FOLDERS_PER_JOB = 64
+#: Scans that are one job and committed together, and the files they have, at most (one partition's files stay together).
+LEGS_PER_JOB, FILES_PER_JOB = 32, 20_000
+#: Least bytes of a scan, so that a small table isn't one scan a partition.
+LEG_BYTES = 1024 * 1024
 
 
 def stored_files(store: PartitionStore, state: State) -> DataFrame:
@@ -179,44 +181,59 @@ def stored_files(store: PartitionStore, state: State) -> DataFrame:
 def compact(store: PartitionStore, small_bytes: int = SMALL_BYTES, target_bytes: int = TARGET_BYTES, sort: list[str] = ()) -> list[Rewrite]:
     """Merge the small files of each partition of a stored table.
 
-    Up to FOLDERS_PER_JOB partitions are one job: each partition's small files are read as combined splits and written, without a
-    shuffle, as a new generation. That is held against the input by row count and content digest before one entry of the log
-    replaces exactly the files that were read; readers see the old files or the new ones. Rows and files that others
+    Partitions are gathered into scans of at most `target_bytes`, so that the engine packs each scan's small files into one split,
+    which is written, without a shuffle, as one file per partition; a partition beyond that is a scan of its own, in several splits. Up to
+    LEGS_PER_JOB scans are one job and one new generation. That is held against the input by row count and content digest before one entry
+    of the log replaces exactly the files that were read; readers see the old files or the new ones. Rows and files that others
     add meanwhile stay; if others replaced the same files, nothing is committed. Large files stay where they are.
     The new files have every column that any file has. The driver holds the file names of one job.
     """
     state = store.state()
     files = materialize(stored_files(store, state))
-    todo = work_list(files, ["folder"], small_bytes, target_bytes).select("path", F.lit(True).alias("small"))
+    todo = materialize(work_list(files, ["folder"], small_bytes, target_bytes).select("path", F.lit(True).alias("small"), "size_bytes"))
+    total = todo.agg(F.coalesce(F.sum(F.col("size_bytes") + OPEN_COST_BYTES), F.lit(0))).first()[0]
+    # enough scans to keep the cluster busy, none larger than a file should be
+    leg = min(target_bytes, max(LEG_BYTES, total // (2 * store.spark.sparkContext.defaultParallelism)))
     both = files.join(todo.select("path", "small"), "path", "left").withColumn("some", F.max("small").over(W.partitionBy("folder")))
     rows = both.where("some").select("folder", "generation", "name", "size_bytes", F.coalesce("small", F.lit(False)).alias("small")).orderBy("folder", "name")
     done: list[Rewrite] = []
-    for batch in _in_batches(groupby(rows.toLocalIterator(), key=lambda r: r["folder"]), FOLDERS_PER_JOB):
-        done += _rewrite(store, state, batch, target_bytes, sort)
+    for legs in _jobs(groupby(rows.toLocalIterator(), key=lambda r: r["folder"]), leg):
+        done += _rewrite(store, state, legs, target_bytes, sort)
     return done
 
 
-def _in_batches(groups: Iterator, size: int) -> Iterator[dict[str, list]]:
-    now: dict[str, list] = {}
-    for folder, files in groups:
-        now[folder] = list(files)
-        if len(now) == size:
-            yield now
-            now = {}
-    if now:
-        yield now
-
-
-def _rewrite(store: PartitionStore, state: State, batch: dict[str, list], target_bytes: int, sort: list[str]) -> list[Rewrite]:
+def _jobs(groups: Iterator, leg_bytes: int) -> Iterator[list[dict[str, list]]]:
+    """Jobs, each a list of scans, each partition folder -> its files."""
+    legs: list[dict[str, list]] = []
+    size = held = 0
+    for folder, found in groups:
+        files = list(found)
+        bytes_ = sum(f["size_bytes"] + OPEN_COST_BYTES for f in files if f["small"])
+        if not legs or size + bytes_ > leg_bytes:
+            if legs and (len(legs) == LEGS_PER_JOB or held >= FILES_PER_JOB):
+                yield legs
+                legs, held = [], 0
+            legs.append({})
+            size = 0
+        legs[-1][folder] = files
+        size += bytes_
+        held += len(files)
+    if legs:
+        yield legs
+
+
+def _rewrite(store: PartitionStore, state: State, legs: list[dict[str, list]], target_bytes: int, sort: list[str]) -> list[Rewrite]:
     schema, base = store.whole_schema(state), f"{store.root}/data/main"
     session = packing_session(store.spark, target_bytes)
     order = [c(x) for x in dict.fromkeys([*store.partition_by, *sort])]
-    legs, change, inputs = [], {}, []
-    for folder, files in batch.items():
-        small = [f for f in files if f["small"]]
-        paths = [f"{base}/gen={f['generation']}/{folder}/{f['name']}" for f in small]
+    scans, change, inputs = [], {}, []
+    for leg in legs:
+        small = [(folder, f) for folder, files in leg.items() for f in files if f["small"]]
+        paths = [f"{base}/gen={f['generation']}/{folder}/{f['name']}" for folder, f in small]
         inputs += paths
-        legs.append(packed(store, session, paths, sum(f["size_bytes"] for f in small), target_bytes, schema).sortWithinPartitions(*order))
+        scans.append(packed(store, session, paths, sum(f["size_bytes"] + OPEN_COST_BYTES for _, f in small), target_bytes, schema).sortWithinPartitions(*order))
+    batch = {folder: files for leg in legs for folder, files in leg.items()}
+    for folder, files in batch.items():
         by: dict[str, list] = defaultdict(list)
         for f in files:
             by[f["generation"]].append(f)
@@ -228,7 +245,7 @@ def _rewrite(store: PartitionStore, state: State, batch: dict[str, list], target
                 old.append(ref)
                 new += [f"{generation}/{f['name']}" for f in held if not f["small"]]
         change[folder] = (old, new)
-    generation, written = store.write(reduce(DataFrame.unionByName, legs), schema=schema)
+    generation, written = store.write(reduce(DataFrame.unionByName, scans), schema=schema)
     before, after = _digest(store.scan(inputs, schema=schema)), _digest(store.scan([f"{base}/gen={generation}"], schema=schema))
     if before != after:
         raise VerificationFailed(f"{before} in, {after} out")

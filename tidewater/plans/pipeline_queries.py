@@ -29,8 +29,13 @@ def _records(current: DataFrame) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    state = changefeed.merge_changes(None, _feed(spark, d), KEYS, "updated_at", "deleted")
-    return _records(changefeed.current_rows(state, "deleted"))
+    """The changes of the later half of the feed's time, merged into the state that the earlier half left."""
+    feed = _feed(spark, d)
+    stamp = utc_micros(F.col("updated_at"))
+    lo, hi = feed.agg(F.min(stamp), F.max(stamp)).first()
+    early = F.coalesce(stamp, F.lit(0)) < F.lit((lo or 0) + ((hi or 0) - (lo or 0)) // 2)
+    base = changefeed.merge_changes(None, feed.where(early), KEYS, "updated_at", "deleted")
+    return _records(changefeed.current_rows(changefeed.merge_changes(base, feed.where(~early), KEYS, "updated_at", "deleted"), "deleted"))
 
 
 def p1_incremental(spark: SparkSession, d: str) -> DataFrame:

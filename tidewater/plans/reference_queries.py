@@ -15,11 +15,13 @@ from tidewater.engine import Engine
 from tidewater.functions import sketches
 from tidewater.functions.ids import tenant
 from tidewater.operators import mor, rollup, small_files
+from tidewater.operators.text_index import TextIndex
 from tidewater.operators.tiers import TierStore, fingerprint
 from tidewater.plans.checks import ranks_within
 from tidewater.plans.pipeline_sql import LIVE
 from tidewater.schema import GRAINS, change_feed_schema, metrics_rollups, spans_rollups
 from tidewater.session import shared_dir, work_dir
+from tidewater.sources.store import PartitionStore
 from tidewater.sources.tables import table
 
 SPANS = "otel_logs_and_spans"
@@ -340,6 +342,16 @@ def mor_update_from(spark: SparkSession, d: str) -> DataFrame:
     return e.sql("SELECT project_id, id, name, extract(epoch from timestamp) AS t FROM mor_stored")
 
 
+def text_search(spark: SparkSession, d: str) -> DataFrame:
+    """text_match over documents stored with a text index: only files that can hold every word are opened."""
+    docs = table(spark, d, "documents").select("doc_id", "text", F.coalesce("source", F.lit("none")).alias("source"))
+    store = PartitionStore(spark, work_dir(spark, "documents"), docs.schema, ["source"])
+    store.replace(docs.hint("rebalance", F.col("source")))
+    index = TextIndex(store, ["text"])
+    index.update()
+    return index.match("text", "write BUFFER*").select("doc_id")
+
+
 def count_from_log(spark: SparkSession, d: str) -> DataFrame:
     return small_files.counts_from_log(table(spark, d, "file_actions"))
 
@@ -351,7 +363,7 @@ def retried_bins(spark: SparkSession, d: str) -> DataFrame:
     return many.groupBy((t - F.pmod(t, F.lit(600_000_000))).alias("bin")).agg(F.count("*").alias("keys"), F.sum(F.col("count") - 1).alias("surplus"))
 
 
-PLANS = {f.__name__: f for f in (pctl_hour_rank, pctl_merge_rank, pctl_rollup_rank, dcount_error, mor_update_from, rollup_store, rollup_sql, count_from_log, retried_bins, rollup_1m, rollup_1h_from_1m, rollup_refresh, rollup_routed, rollup_hybrid, metrics_rollup, flush_dedup, exact_duplicates)}
+PLANS = {f.__name__: f for f in (pctl_hour_rank, pctl_merge_rank, pctl_rollup_rank, dcount_error, mor_update_from, text_search, rollup_store, rollup_sql, count_from_log, retried_bins, rollup_1m, rollup_1h_from_1m, rollup_refresh, rollup_routed, rollup_hybrid, metrics_rollup, flush_dedup, exact_duplicates)}
 
 
 def _tier_sql(grain: str, raw: str = SPANS) -> str:
@@ -387,6 +399,7 @@ SELECT project_id, id, name, epoch_us(timestamp) / 1e6 AS t FROM updated WHERE N
 FROM ranked WHERE rn = 1 AND action_type = 'add' GROUP BY ALL""",
     "retried_bins": f"SELECT bin, count(*) AS keys, CAST(sum(n - 1) AS BIGINT) AS surplus FROM (SELECT epoch_us(timestamp) - epoch_us(timestamp) % 600000000 AS bin, count(*) AS n FROM {SPANS} GROUP BY timestamp, id HAVING count(*) > 1) GROUP BY bin",
     "rollup_1m": _tier_sql("1m"), "rollup_1h_from_1m": _tier_sql("1h"), "rollup_refresh": _tier_sql("1m"),
+    "text_search": "SELECT doc_id FROM documents WHERE contains(lower(text), 'write') AND contains(lower(text), 'buffer')",
     "rollup_store": _store_sql(),
     "rollup_sql": f"""SELECT coalesce(project_id, 'default') AS project_id, {_bucket(3600)} AS t, coalesce(resource___service___name, 'none') AS service, count(*)::DOUBLE AS n,
   ROUND(count(*) FILTER ({ERR})::DOUBLE * 100.0 / count(*)::DOUBLE, 2) AS rate, max(duration) AS slowest FROM {SPANS}

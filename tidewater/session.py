@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -22,6 +23,7 @@ def local_session(name: str = "tidewater", cpus: int = 8, partitions: int = 8, *
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", "8g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
@@ -44,12 +46,14 @@ def ship(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, from spark.checkpoint.dir.
 
-    Only where that setting is absent (single-machine tests) a temporary folder is made
-    and registered, so that checkpoint() works as well.
+    Only where that setting is absent and the master is local (single-machine tests) a temporary folder is made
+    and registered, so that checkpoint() works as well; on a cluster that is an error.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="tidewater-")
         sc.setCheckpointDir(named)
     elif not sc.getCheckpointDir():
@@ -57,9 +61,25 @@ def shared_dir(spark: SparkSession) -> str:
     return str(named).rstrip("/")
 
 
+_MADE: list[tuple[SparkSession, str]] = []
+
+
 def work_dir(spark: SparkSession, purpose: str) -> str:
-    """A new, unique folder below the shared one."""
-    return f"{shared_dir(spark)}/tidewater-{purpose}-{uuid.uuid4().hex}"
+    """A new, unique folder below the shared one; it is removed when the driver ends."""
+    if not _MADE:
+        atexit.register(_remove)
+    path = f"{shared_dir(spark)}/tidewater-{purpose}-{uuid.uuid4().hex}"
+    _MADE.append((spark, path))
+    return path
+
+
+def _remove() -> None:
+    for spark, path in _MADE:
+        try:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # noqa: BLE001 - the JVM may be gone already, and with it the wish to tidy up
+            return
 
 
 def materialize(df: DataFrame) -> DataFrame:
