@@ -41,6 +41,8 @@ FLOOR = 0.003
 TEMPER = 0.6
 #: Share of list text above which a page is flagged, where labels don't place it.
 THRESHOLD = 0.5
+#: Characters of texts that are labelled at once.
+AT_ONCE = 2_000_000
 
 ZERO_WIDTH = re.compile("[\u200b\u200c\u200d\u2060\ufeff\u00ad]")
 ZERO_WIDTH_LETTERS = re.compile("(?:\\w\u200b){3}")
@@ -51,7 +53,10 @@ LINK = re.compile(
 )
 HASHTAG = re.compile(r"(?<!\w)#(?=\w)[\w-]+")
 PRICE = re.compile(r"(?<![\d.:])\d{1,4}[.,]\d{2}(?![\d.%:])")
+#: Cheap sign that a part may have a price at all.
+MAYBE_PRICE = re.compile(r"\d[.,]\d\d")
 LIST_SIGNS = "★|•/;,·»"
+ASCII_SIGNS = "".join(x for x in LIST_SIGNS if x.isascii())
 DASHES = "-–—"
 DASH = re.compile(rf"(?<=\s)[{DASHES}](?=\s)")
 SEPARATOR = re.compile(rf"[{LIST_SIGNS}]|{DASH.pattern}")
@@ -73,9 +78,10 @@ DISGUISED = re.compile(r"(?<![\w@.:/-])(?=[\w@]*[^\W\d_])(?=[\w@]*[@031])[^\W_@]
 MAYBE_DISGUISED = re.compile(r"[^\W\d_][@031]|[@031][^\W\d_]")
 
 
-def _bin(x: float, *edges: float) -> int:
-    """How many of the rising edges x exceeds."""
-    return bisect_left(edges, x)
+#: Rising edges of the features' values: a value falls into the bin of as many edges as it exceeds.
+LINK_EDGES, TAG_EDGES, REPEAT_EDGES, SEPARATOR_EDGES, RARE_EDGES = (0, 0.2, 0.4, 0.65), (0, 0.3), (0.1, 0.22, 0.4, 0.6), (0, 0.08, 0.18, 0.34), (0, 0.08)
+SHARED_EDGES, WORD_EDGES, PAIR_EDGES, COUNT_EDGES = (0.05, 0.3, 0.6), (2, 6, 12, 22), (0, 0.2, 0.3, 0.45), (0, 1, 3)
+LIST_WORD_EDGES = (-1.6, -0.9, -0.3, 0.3, 0.9, 1.6)
 
 
 @dataclass
@@ -96,7 +102,7 @@ def split_parts(text: str) -> list[str]:
     """Lines; longer ones cut after sentence ends, or where a part gets too long. Nothing is lost but blank space."""
     out = []
     for line in text.splitlines():
-        if FULL_STOP.search(line) and CJK.search(line):  # scripts without spaces: sentence by sentence
+        if not line.isascii() and FULL_STOP.search(line) and CJK.search(line):  # scripts without spaces: sentence by sentence
             out += [x for x in FULL_STOP.split(line) if x.strip()]
             continue
         tokens = line.split()
@@ -146,16 +152,19 @@ def describe(text: str) -> list[Part]:
         links = LINK.findall(part) if "/" in part or "www." in part or "](" in part else []
         link_chars = sum(len(x) - x.count(" ") for x in links)
         rest = LINK.sub(" ", part) if links else part
-        hidden = any(map(rest.__contains__, "@031")) and MAYBE_DISGUISED.search(rest) is not None
-        if hidden:
-            disguised += len(DISGUISED.findall(rest))
+        if ("0" in rest or "1" in rest or "3" in rest or "@" in rest) and MAYBE_DISGUISED.search(rest) is not None and (hidden := len(DISGUISED.findall(rest))):
+            disguised += hidden
+            folded = DISGUISED.sub(lambda m: m.group().translate(LOOKALIKES), rest).casefold()
+        else:
+            folded = rest.casefold()
         tags = len(HASHTAG.findall(rest)) if "#" in rest else 0
-        folded = (DISGUISED.sub(lambda m: m.group().translate(LOOKALIKES), rest) if hidden else rest).casefold()
         words = _words(folded)
-        n = max(1, len(words))
+        n_words = len(words)
+        n = n_words or 1
         distinct = set(words)
         tokens = max(1, len(rest.split()) if links else len(spaced), n // 2)
-        seps = sum(map(rest.count, LIST_SIGNS)) + (len(DASH.findall(rest)) if any(map(rest.__contains__, DASHES)) else 0)
+        plain = rest.isascii()
+        seps = sum(map(rest.count, ASCII_SIGNS if plain else LIST_SIGNS)) + (len(DASH.findall(rest)) if "-" in rest or not plain and ("–" in rest or "—" in rest) else 0)
         items = [x for x in SEPARATOR.split(folded) if x.strip()] if seps > 1 else ()
         seps += max(0, len(links) - 1)
         pair = 1
@@ -165,18 +174,18 @@ def describe(text: str) -> list[Part]:
             pair = sum(x for x in counts if x > 2) or 2
         repeated_items = 1 - len({x.strip() for x in items}) / len(items) if len(items) > 2 else 0.0
         features = [
-            _bin(link_chars / size, 0, 0.2, 0.4, 0.65),
-            _bin(tags / tokens, 0, 0.3),
-            5 if len(words) < 4 else _bin(max(1 - len(distinct) / n, repeated_items), 0.1, 0.22, 0.4, 0.6),
-            _bin(seps / (tokens + len(links)), 0, 0.08, 0.18, 0.34),
-            _bin(len(PRICE.findall(rest)) / tokens, 0, 0.08),
-            _bin(disguised / tokens, 0, 0.08),
+            bisect_left(LINK_EDGES, link_chars / size),
+            bisect_left(TAG_EDGES, tags / tokens) if tags else 0,
+            5 if n_words < 4 else bisect_left(REPEAT_EDGES, max(1 - len(distinct) / n, repeated_items)),
+            bisect_left(SEPARATOR_EDGES, seps / (tokens + len(links))) if seps else 0,
+            bisect_left(RARE_EDGES, len(PRICE.findall(rest)) / tokens) if MAYBE_PRICE.search(rest) else 0,
+            bisect_left(RARE_EDGES, disguised / tokens) if disguised else 0,
             int(part.rstrip().rstrip("'\")]")[-1:] in SENTENCE_ENDS),
             int(fenced or fence or (link_chars < 0.4 * size and _is_record(part))),
-            _bin(len(distinct & before) / max(1, len(distinct)), 0.05, 0.3, 0.6),
-            _bin(len(words), 2, 6, 12, 22),
-            _bin(2 * pair / n if pair > 1 else 0.0, 0, 0.2, 0.3, 0.45),
-            _bin(len(links), 0, 1, 3),
+            bisect_left(SHARED_EDGES, len(distinct & before) / max(1, len(distinct))),
+            bisect_left(WORD_EDGES, n_words),
+            bisect_left(PAIR_EDGES, 2 * pair / n) if pair > 1 else 0,
+            bisect_left(COUNT_EDGES, len(links)) if links else 0,
         ]
         parts.append(Part(features, words, size))
         before = distinct
@@ -187,14 +196,13 @@ def describe(text: str) -> list[Part]:
     return parts
 
 
-def _scraps(x: np.ndarray) -> np.ndarray:
+def _scraps(x: np.ndarray, page: np.ndarray) -> np.ndarray:
     """Which parts tell nothing by themselves: headings and the like, a few words without any sign of a list."""
     scrap = (x[:, 2] == 5) & (x[:, [0, 1, 4, 5]] == 0).all(axis=1)
-    edge = np.flatnonzero(np.diff(np.concatenate(([0], scrap.astype(np.int8), [0]))))
-    for a, b in zip(edge[::2], edge[1::2]):
-        if b - a >= SCRAPS:
-            scrap[a:b] = False
-    return scrap
+    new = np.ones(len(x), dtype=bool)
+    new[1:] = (scrap[1:] != scrap[:-1]) | (page[1:] != page[:-1])
+    run = np.cumsum(new) - 1
+    return scrap & (np.bincount(run)[run] < SCRAPS)
 
 
 def _seed(p: Part) -> int:
@@ -223,35 +231,52 @@ class LineModel:
         if not words:
             return 7
         s = sum(map(self.lists.get, words, repeat(0.0))) / len(words)
-        return _bin(s, -1.6, -0.9, -0.3, 0.3, 0.9, 1.6)
-
-    def label(self, parts: list[Part]) -> list[int]:
-        """The likeliest states of consecutive parts."""
-        if not parts:
-            return []
-        x = np.array([[*p.features, self._word_bin(p.words)] for p in parts])
+        return bisect_left(LIST_WORD_EDGES, s)
+
+    def label(self, pages: list[list[Part]]) -> list[np.ndarray]:
+        """The likeliest states of the parts of each page. All pages take a step of the way together."""
+        sizes = np.array([len(p) for p in pages], dtype=np.int64)
+        if not sizes.sum():
+            return [np.empty(0, dtype=np.int8) for _ in pages]
+        x = np.array([[*p.features, self._word_bin(p.words)] for parts in pages for p in parts])
         score = self.flat[x + _FIRST].sum(axis=1)
         # headings and other scraps of a few words tell nothing by themselves: their neighbours decide
-        score[_scraps(x)] = 0.0
-        best, back = self.start + score[0], []
-        for row in score[1:]:
-            way = best[:, None] + self.step
-            at = way.argmax(axis=0)
-            back.append(at)
-            best = way[at, np.arange(len(best))] + row
-        s = int(best.argmax())
-        states = [s]
-        for at in reversed(back):
-            s = int(at[s])
-            states.append(s)
-        return states[::-1]
+        score[_scraps(x, np.repeat(np.arange(len(pages)), sizes))] = 0.0
+        first = np.cumsum(sizes) - sizes
+        order = np.argsort(-sizes, kind="stable")
+        order = order[: int((sizes > 0).sum())]
+        first, length = first[order], sizes[order]
+        longest = int(length[0])
+        active = np.searchsorted(-length, -np.arange(longest), "left")  # pages longer than t
+        best, back = self.start + score[first], np.zeros((len(x), len(STATES)), dtype=np.int8)
+        for t in range(1, longest):
+            k = active[t]
+            way = best[:k, :, None] + self.step
+            at = way.argmax(axis=1)
+            back[first[:k] + t] = at
+            best[:k] = np.take_along_axis(way, at[:, None, :], 1)[:, 0] + score[first[:k] + t]
+        states = np.empty(len(x), dtype=np.int8)
+        now = best.argmax(axis=1)
+        states[first + length - 1] = now
+        for t in range(longest - 1, 0, -1):
+            k = active[t]
+            now[:k] = back[first[:k] + t, now[:k]]
+            states[first[:k] + t - 1] = now[:k]
+        return np.split(states, np.cumsum(sizes)[:-1])
+
+    def list_shares(self, texts: list[str | None]) -> list[float]:
+        """The share of each text's characters that lie in list lines."""
+        pages = [describe(t or "") for t in texts]
+        shares = []
+        for parts, states in zip(pages, self.label(pages)):
+            size = np.array([p.size for p in parts], dtype=np.int64)
+            shares.append(float(size[np.isin(states, LISTS)].sum() / size.sum()) if len(size) else 0.0)
+        return shares
 
     def list_share(self, text: str | None) -> float:
-        parts = describe(text or "")
-        total = sum(p.size for p in parts)
-        return sum(p.size for p, s in zip(parts, self.label(parts)) if s in LISTS) / total if total else 0.0
+        return self.list_shares([text])[0]
 
-    def _estimate(self, pages: list[list[Part]], states: list[list[int]]) -> None:
+    def _estimate(self, pages: list[list[Part]], states: list) -> None:
         k = len(STATES)
         start, step = np.ones(k), np.ones((k, k)) + 5 * np.eye(k)
         emit = [np.full((k, v), 0.5) for v in VALUES]
@@ -283,9 +308,9 @@ class LineModel:
         states = [[_seed(p) for p in parts] for parts in pages]
         self._estimate(pages, states)
         for _ in range(EM_ROUNDS):
-            states = [self.label(parts) for parts in pages]
+            states = self.label(pages)
             self._estimate(pages, states)
-        known = [(p, s, y) for p, s, y in zip(pages, map(self.label, pages), labels) if y is not None and p]
+        known = [(p, s, y) for p, s, y in zip(pages, self.label(pages), labels) if y is not None and p]
         shares = np.array([sum(x.size for x, k in zip(p, s) if k in LISTS) / sum(x.size for x in p) for p, s, _ in known])
         y = np.array([y > 0.5 for *_, y in known], dtype=bool)
         grid = np.linspace(0.4, 0.6, 21)
@@ -326,12 +351,19 @@ def flag(documents: DataFrame, model: LineModel, key: str = "doc_id", text: str
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
         for b in batches:
-            share = [m.list_share(t) for t in b["t"]]
+            texts = [t if isinstance(t, str) else None for t in b["t"]]
+            share: list[float] = []
+            held, size = [], 0
+            for t in texts:
+                held.append(t)
+                size += len(t or "")
+                if size >= AT_ONCE:
+                    share += m.list_shares(held)
+                    held, size = [], 0
+            share += m.list_shares(held)
             yield pd.DataFrame({"k": b["k"], "list_share": share, "flagged": [s > m.threshold for s in share]})
 
-    rows = documents.select(c(key).alias("k"), c(text).alias("t"))
-    cores = documents.sparkSession.sparkContext.defaultParallelism
-    if rows.rdd.getNumPartitions() < cores:  # a table of few splits would leave cores idle; of many, nothing moves
-        rows = rows.repartition(cores)
+    # texts are dealt out evenly by their keys: classifying costs far more than moving them, and files are few and uneven
+    rows = documents.select(c(key).alias("k"), c(text).alias("t")).repartition(c("k"))
     out = rows.mapInPandas(run, f"k {kind}, list_share double, flagged boolean")
     return out.withColumnRenamed("k", key)
