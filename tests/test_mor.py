@@ -150,7 +150,7 @@ def test_queued_updates_are_folded_and_failing_ones_kept_aside(spark, table):
 def test_files_are_in_the_declared_order(spark, table):
     put(spark, table, *[(f"{i % 7}", "x", "pq"[i % 2]) for i in range(40)])
     assert table.order_violations().count() == 0
-    table.store.replace(table.versions().orderBy(F.col("id").desc()).coalesce(1), operation="unsorted")
+    table.store.replace(table.versions().coalesce(1).sortWithinPartitions("project_id", "date", F.col("id").desc()), operation="unsorted")
     assert table.order_violations().agg(F.sum("violations")).first()[0] > 0
 
 

@@ -57,4 +57,7 @@ def test_compaction_runs_on_the_files_of_the_log(spark, con):
 
 
 def test_every_statement_has_sql():
-    assert set(reference_queries.STATEMENTS) <= set(SQL) and set(SQL) <= set(QUERIES)
+    """Or is one of the sketches, which queries of their own hold against exact results."""
+    without = {name for name, (_, other) in reference_queries.STATEMENTS.items() if other == reference_queries.NO_SQL}
+    assert without == {"pctl_bucket", "pctl_array_unnest", "dcount_sketch"}
+    assert set(reference_queries.STATEMENTS) - without <= set(SQL) and set(SQL) <= set(QUERIES)
