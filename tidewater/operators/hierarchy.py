@@ -175,21 +175,31 @@ def _distributed(links: DataFrame, with_path: bool) -> DataFrame:
     linked = nodes.join(ids, ["tree", "parent"], "left")
     top = F.col("has").isNull()
     way = F.when(top, F.array().cast("array<string>")).otherwise(F.array("node")) if with_path else F.lit(None).cast("array<string>")
-    state = materialize(linked.select("tree", "node", "parent", F.when(top, F.col("node")).otherwise(F.col("parent")).alias("to"), F.when(top, 0).otherwise(1).alias("depth"), way.alias("way"), top.alias("done")))
-    total, before = state.agg(F.count("*"), F.count_if("done")).first()
-    while before < total:
-        far = state.select("tree", F.col("node").alias("to"), F.col("to").alias("far"), F.col("depth").alias("more"), F.col("way").alias("ahead"), F.col("done").alias("there"))
-        moved = state.where("not done").join(far, ["tree", "to"]).select(
+    start = linked.select("tree", "node", "parent", F.when(top, F.col("node")).otherwise(F.col("parent")).alias("to"), F.when(top, 0).otherwise(1).alias("depth"), way.alias("way"), top.alias("done"))
+    start = materialize(start)
+    done, going = [start.where("done")], start.where("not done")
+    before = going.count()
+    while before:
+        known = going
+        for x in done:
+            known = known.unionByName(x)
+        far = known.select("tree", F.col("node").alias("to"), F.col("to").alias("far"), F.col("depth").alias("more"), F.col("way").alias("ahead"), F.col("done").alias("there"))
+        # only nodes on their way are written again
+        moved = materialize(going.join(far, ["tree", "to"]).select(
             "tree", "node", "parent", F.col("far").alias("to"), (F.col("depth") + F.col("more")).alias("depth"), F.concat("ahead", "way").alias("way"), F.col("there").alias("done")
-        )
-        state = materialize(state.where("done").unionByName(moved))
-        now = state.where("done").count()
+        ))
+        done.append(moved.where("done"))
+        going = moved.where("not done")
+        now = going.count()
         if now == before:
             break
         before = now
+    reached = done[0]
+    for x in done[1:]:
+        reached = reached.unionByName(x)
     path = F.concat(F.array("to"), F.col("way")) if with_path else F.lit(None).cast("array<string>")
-    result = state.where("done").select("tree", "node", "parent", F.col("to").alias("root"), "depth", F.lit(None).cast("string").alias("cycle"), path.alias("path"))
-    lost = materialize(state.where("not done").select("tree", "node", "parent"))
+    result = reached.select("tree", "node", "parent", F.col("to").alias("root"), "depth", F.lit(None).cast("string").alias("cycle"), path.alias("path"))
+    lost = materialize(going.select("tree", "node", "parent"))
     if not lost.isEmpty():
         # Jumping 2^k parents up maps the lost nodes onto the circles once 2^k passes every tail; then the image stays as large.
         jump, before = lost.select("tree", "node", F.col("parent").alias("to")), -1

@@ -70,10 +70,8 @@ def p3_hierarchy(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_joined(spark: SparkSession, d: str) -> DataFrame:
-    """p3_hierarchy by the joins that trees too large for a task take, for all trees."""
-    return hierarchy.hierarchies(_links(spark, d), with_path=True, tree_limit=0).select(
-        "tree", "node", "root", "depth", F.concat_ws("/", "path").alias("path"), F.coalesce("cycle", F.lit("")).alias("cycle")
-    )
+    """Root, depth and circle of every span by the joins that trees too large for a task take, for all trees."""
+    return hierarchy.hierarchies(_links(spark, d), tree_limit=0).select("tree", "node", "root", "depth", F.coalesce("cycle", F.lit("")).alias("cycle"))
 
 
 def p3_descendants(spark: SparkSession, d: str) -> DataFrame:

@@ -96,7 +96,7 @@ FROM (SELECT tree, depth, unnest(string_split(path, '/')) AS up, node FROM walk)
 JOIN walk a ON a.tree = w.tree AND a.node = w.up
 WHERE w.node <> a.node GROUP BY w.tree, a.node""",
     "p3_hierarchy": _WHOLE_TREE,
-    "p3_joined": _WHOLE_TREE,
+    "p3_joined": f"SELECT * EXCLUDE path FROM ({_WHOLE_TREE})",
     "p4_watermarked": _WATERMARKED,
     "p4_found": _FATES + " SELECT msg_id AS id, period FROM fates WHERE fate = 'correction'",
     "p4_hourly": _FATES + """
