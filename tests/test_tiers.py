@@ -144,6 +144,10 @@ def test_empty_table(spark, raw, tmp_path):
     e.register("nothing", raw.limit(0))
     e.rollups("nothing", str(tmp_path / "r"), SPECS)
     assert e.sql(f"SELECT count(*) AS n FROM nothing WHERE project_id = 'p' AND {W}").first().n == 0
+    store = TierStore(spark, str(tmp_path / "r"), SPECS, raw.schema)  # opened from a log without a partition
+    assert store.stores["fine"].partition_by == ["date"]
+    store.build(raw)
+    assert [t.data.agg(F.sum("n")).first()[0] for t in store.tiers()] == [3_000, 3_000]
 
 
 def test_spellings():

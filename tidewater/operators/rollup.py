@@ -7,7 +7,7 @@ merged. Whatever a tier cannot answer is aggregated from raw rows, with the reas
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from enum import Enum
 from functools import reduce
 
@@ -308,6 +308,12 @@ def _final(states: DataFrame, q: AggregateQuery, spec: RollupSpec) -> DataFrame:
     return merged.select(*[c(k) for k in keys], *out)
 
 
+def _needed(spec: RollupSpec, q: AggregateQuery) -> tuple[Measure, ...]:
+    """The measures of a tier that a query reads; the others are neither merged nor made from raw rows."""
+    asked = [(agg, column, a.filter or q.row_filter) for a in q.asks for agg, column in _needs(a)] + ([("count", None, q.row_filter)] if q.row_filter else [])
+    return tuple(dict.fromkeys(_measure(spec, *x) for x in asked))
+
+
 def raw_spec(q: AggregateQuery) -> RollupSpec:
     """The states a query needs, at a grain of its bucket: how raw rows alone are aggregated."""
     seen: dict[tuple, Measure] = {}
@@ -334,7 +340,7 @@ def answer(q: AggregateQuery, raw: DataFrame, tiers: list[Tier]) -> tuple[DataFr
         window = [(q.start if q.start is not None else -_OPEN_END, q.end if q.end is not None else _OPEN_END)]
         rows = _filtered(rows_within(raw, window), q)
         return _final(build(rows, spec), q, spec), routed
-    spec = routed.tier.spec
+    spec = replace(routed.tier.spec, measures=_needed(routed.tier.spec, q))
     states = _filtered(_stored_within(routed.tier.data, routed.from_tier), q)
     if routed.from_raw:
         edges = build(_filtered(rows_within(raw, routed.from_raw), q), spec)

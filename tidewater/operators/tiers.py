@@ -34,12 +34,17 @@ class TierStore:
     """The tiers of one table: the finest spec first, others derived from it."""
 
     def __init__(self, spark: SparkSession, root: str, specs: tuple[RollupSpec, ...], raw: T.StructType):
-        self.spark, self.root, self.specs = spark, root.rstrip("/"), specs
-        none = spark.createDataFrame([], raw)
-        made = rollup.build(none, specs[0])
-        self.stores = {s.name: PartitionStore(spark, f"{self.root}/{s.name}", self._dated(made if s is specs[0] else rollup.derive(made, s)).schema, ["date"]) for s in specs}
-        #: The declaration the tiers were built by; another one makes them worthless.
+        #: The declaration the tiers are built by; each has a folder of its own, those of earlier ones are trusted by nobody.
         self.generation = hashlib.sha256(json.dumps([s.__dict__ for s in specs], default=lambda x: x.__dict__, sort_keys=True).encode()).hexdigest()[:16]
+        self.spark, self.root, self.specs = spark, f"{root.rstrip('/')}/{self.generation}", specs
+        self.stores: dict[str, PartitionStore] = {}
+        for s in specs:
+            try:  # the log knows the columns
+                self.stores[s.name] = PartitionStore.open(spark, f"{self.root}/{s.name}")
+            except FileNotFoundError:
+                made = rollup.build(spark.createDataFrame([], raw), specs[0])
+                schema = self._dated(made if s is specs[0] else rollup.derive(made, s)).schema
+                self.stores[s.name] = PartitionStore(spark, f"{self.root}/{s.name}", schema, ["date"])
 
     def _dated(self, tier: DataFrame) -> DataFrame:
         return tier.withColumn("date", F.to_date(F.timestamp_micros("bucket")))

@@ -201,27 +201,33 @@ _DAY = 86_400_000_000
 _FIRST = 1_672_617_600_000_000  # 2023-01-02
 
 
-def _stored(spark: SparkSession, d: str) -> TierStore:
+#: Tiers that are open, as an engine keeps them: session and source -> fingerprint of the source, store, tiers.
+_OPEN: dict[tuple[str, int, str], tuple[str, TierStore, list[rollup.Tier]]] = {}
+
+
+def _stored(spark: SparkSession, d: str) -> tuple[TierStore, list[rollup.Tier]]:
     """The tiers of the span table below the shared folder: built by the first query that asks, found there by the others."""
     source = f"{d}/{SPANS}.parquet"
-    raw = _spans(spark, d)
-    store = TierStore(spark, f"{shared_dir(spark)}/tidewater-tiers-{hashlib.md5(source.encode()).hexdigest()}", spans_rollups(), raw.schema)
-    mark = fingerprint(spark, source)
-    if store.source() != mark:
-        store.build(raw, mark)
-    return store
+    mark, key = fingerprint(spark, source), (spark.sparkContext.applicationId, id(spark), source)
+    if key not in _OPEN or _OPEN[key][0] != mark:
+        raw = _spans(spark, d)
+        store = TierStore(spark, f"{shared_dir(spark)}/tidewater-tiers-{hashlib.md5(source.encode()).hexdigest()}", spans_rollups(), raw.schema)
+        if store.source() != mark:
+            store.build(raw, mark)
+        _OPEN[key] = mark, store, store.tiers()
+    return _OPEN[key][1:]
 
 
 def _routed(spark: SparkSession, d: str, start: int, end: int, ranges: list[tuple[int, int]]) -> DataFrame:
-    tiers = [rollup.Tier(t.spec, t.data, rollup.Coverage(ranges)) for t in _stored(spark, d).tiers()]
+    tiers = [rollup.Tier(t.spec, t.data, rollup.Coverage(ranges)) for t in _stored(spark, d)[1]]
     df, _ = rollup.answer(_hourly(start=start, end=end), _spans(spark, d), tiers)
     return df.select((F.col("time") / 1_000_000).cast("long").alias("t"), F.col("resource___service___name").alias("service"), "n", "errors", "s", F.round("a", 3).alias("a"))
 
 
 def rollup_store(spark: SparkSession, d: str) -> DataFrame:
     """The stored tiers: per tier and date their rows and what they count."""
-    store = _stored(spark, d)
-    legs = [t.data.groupBy(F.lit(t.spec.name).alias("tier"), "date").agg(F.count("*").alias("states"), F.sum("request_count").alias("n"), F.sum("duration_sum").alias("s")) for t in store.tiers()]
+    _, tiers = _stored(spark, d)
+    legs = [t.data.groupBy(F.lit(t.spec.name).alias("tier"), "date").agg(F.count("*").alias("states"), F.sum("request_count").alias("n"), F.sum("duration_sum").alias("s")) for t in tiers]
     return legs[0].unionByName(legs[1])
 
 
@@ -233,8 +239,7 @@ def rollup_sql(spark: SparkSession, d: str) -> DataFrame:
     """A dashboard's plain SELECT: whole hours from the stored tier, the ragged ends from raw rows."""
     e = Engine(spark)
     e.register(SPANS, _spans(spark, d))
-    store = _stored(spark, d)
-    e.stored_tiers[SPANS], e.tiers[SPANS] = store, store.tiers()
+    e.stored_tiers[SPANS], e.tiers[SPANS] = _stored(spark, d)
     df = e.sql(_DASHBOARD)
     if e.stats["rollup_hybrid"] != 1:
         raise RuntimeError(f"not answered from the tier: {dict(e.stats)} {e.last_miss}")
@@ -313,7 +318,7 @@ def pctl_merge_rank(spark: SparkSession, d: str) -> DataFrame:
 def pctl_rollup_rank(spark: SparkSession, d: str) -> DataFrame:
     """Percentiles per service from the digests of the stored hourly tier, held against all durations."""
     q = rollup.AggregateQuery(tuple(rollup.Ask(name, "percentile", "duration", p=p) for name, p in POINTS.items()), start=_FIRST - 300 * _DAY, end=_FIRST + 300 * _DAY, by_project=True, group=("resource___service___name",))
-    tier = _stored(spark, d).tiers()[1]
+    tier = _stored(spark, d)[1][1]
     one = rollup.answer(q, _spans(spark, d), [tier])[0].select("project_id", F.col("resource___service___name").alias("service"), *POINTS)
     rows = _spans(spark, d).select("project_id", F.col("resource___service___name").alias("service"), F.col("duration").cast("double").alias("duration"))
     return ranks_within(one, rows, ["project_id", "service"], "duration", POINTS, 3 * sketches.RANK_ERROR)
